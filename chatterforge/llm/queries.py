@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from chatterforge.llm.common import table
 
 
+def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatterforge.llm.pii_disclosure import sanitise, span_report
+
+    return span_report(sanitise(table(spark, sf_dir, "documents")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +33,12 @@ def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatterforge.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chatterforge.llm.decontaminate import find_contamination
 
@@ -35,6 +47,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatterforge.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chatterforge.llm.line_templates import dedup_lines
 
@@ -53,9 +73,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii_disclosure": op3_pii_disclosure,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_qda": op5_quality_qda,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_license_scan": op8_license_scan,
     "op9_line_templates": op9_line_templates,
     "op10_simhash": op10_simhash,
 }
