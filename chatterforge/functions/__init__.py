@@ -1 +1 @@
-
+"""Column functions; all stay inside the JVM."""
