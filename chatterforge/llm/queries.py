@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 from chatterforge.llm.common import table
 
 
+def op1_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatterforge.llm.topk_bm25 import query_rows, search
+
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, query_rows(docs)).withColumn("score", F.round("score", 6))
+
+
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatterforge.llm.paragraph_dedup import dedup_paragraphs
+
+    return dedup_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chatterforge.llm.pii_disclosure import sanitise, span_report
 
@@ -73,6 +86,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bm25_topk": op1_bm25_topk,
+    "op2_paragraph_dedup": op2_paragraph_dedup,
     "op3_pii_disclosure": op3_pii_disclosure,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_qda": op5_quality_qda,
