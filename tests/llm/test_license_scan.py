@@ -1,0 +1,73 @@
+from chatterforge.llm import license_scan as L
+
+from .helpers import AWKWARD, awkward, documents, texts, words
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def model(text):
+    w, starts, labels = words(text), [], set()
+    for phrase, label in PHRASES.items():
+        p = phrase.split()
+        for i in range(len(w)):
+            if w[i : i + len(p)] == p:
+                starts.append(i)
+                labels.add(label)
+    return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
+
+
+def base(r):
+    return r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]
+
+
+def test_contract_on_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    by_id = texts(spark, folder)
+    rows = L.scan_licenses(documents(spark, folder)).collect()
+    assert {r["doc_id"]: base(r) for r in rows} == {i: model(t) for i, t in by_id.items()}
+    assert {"gpl,gpl-notice", "mit,mit-notice", "apache,apache-2.0-notice", "cc-by,cc-by-notice"} <= {r["labels"] for r in rows}
+    assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in rows)
+
+
+def test_phrases_that_share_words():
+    text = "CC BY cc-by Apache LICENSE, apache license MIT license"
+    assert model(text)[1] == 5
+    w = [x.encode() for x in words(text)]
+    places = L.phrase_places(b" " + b" ".join(w) + b" ", PHRASES)
+    assert sorted(p for x in places.values() for p in x) == [0, 2, 4, 6, 8]
+
+
+def accepts(template, text):
+    a = L.TokenAutomaton(template)
+    return a.longest([x.encode() for x in text.split()], 0)
+
+
+def test_optional_and_replaceable_regions():
+    t = "use [ this [ fine ] software ] of {2} freely"
+    assert accepts(t, "use of freely") == 3
+    assert accepts(t, "use this software of freely") == 5
+    assert accepts(t, "use this fine software of john doe freely now") == 8
+    assert accepts(t, "use fine software of freely") == -1
+    assert accepts(t, "use of a b c freely") == -1
+    assert accepts("copy of {2}", "copy of a b c") == 4
+
+
+def test_templates_match_their_own_wording():
+    for label, template in L.TEMPLATES.items():
+        plain, depth = [], 0
+        for token in template.split():
+            depth += (token == "[") - (token == "]")
+            if not depth and token not in "[]" and not token.startswith("{"):
+                plain.append(token.encode())
+        if label != "cc-by-notice":
+            found = L.template_matches([b"x", *plain, b"y"], L.automata(((label, template),)))
+            assert found == [(label, 1, 1 + len(plain))], label
+        broken = [w for i, w in enumerate(plain) if i != len(plain) // 2]
+        assert not L.template_matches(broken, L.automata(((label, template),))), label
+
+
+def test_awkward_rows(spark):
+    rows = L.scan_licenses(awkward(spark, AWKWARD)).collect()
+    assert len(rows) == len(AWKWARD)
+    assert all(r["score"] == 0 and r["first_word"] is None and r["labels"] == "" for r in rows)
+    assert L.scan_licenses(awkward(spark, [])).count() == 0
