@@ -83,11 +83,9 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """``line_no, text``: one response per line, a string or an object with response or value."""
     lines = _numbered_lines(spark, path).where(T.strip("value") != "")
     tree = F.try_parse_json("value")
-    said = F.coalesce(
-        F.try_variant_get(tree, "$", "string"), F.try_variant_get(tree, "$.response", "string"), F.try_variant_get(tree, "$.value", "string")
-    )
-    kind = F.schema_of_variant(tree)
-    text = F.when((kind == "STRING") | kind.startswith("OBJECT"), said)
+    inner = F.coalesce(F.try_variant_get(tree, "$.response", "variant"), F.try_variant_get(tree, "$.value", "variant"))
+    said = F.when(F.schema_of_variant(tree) == "STRING", tree).otherwise(inner)
+    text = F.when(F.schema_of_variant(said) == "STRING", F.try_variant_get(said, "$", "string"))
     found = lines.select("line_no", text.alias("text"))
     bad = found.where("text is null").orderBy("line_no").limit(1).collect()
     if bad:
