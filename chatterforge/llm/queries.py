@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterforge.llm.common import table
+from chatterforge.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +100,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_templates": op9_line_templates,
     "op10_simhash": op10_simhash,
 }
-
-ORACLE_SQL: dict[str, str] = {}
