@@ -1,6 +1,6 @@
 """Line dedup with a log-template tree, in DataFrame operations only.
 
-*Parsing.*  Every line is cut into tokens at blanks; a token with a digit is a
+*Parsing.*  Every line is cut into tokens at spaces; a token with a digit is a
 variable field and becomes ``<*>``.  A line descends a tree of fixed depth: its
 token count, then its first ``DEPTH`` tokens, name its leaf.
 
@@ -17,7 +17,8 @@ text with boilerplate in it; it is left whole for the near-duplicate stage.
 
 Only hashes, ids and line numbers are shuffled for the counts.  The counts are
 summed before they move, so a line that a third of all documents have is one
-row per task.  Texts move once, to meet the list of their dropped lines.
+row per task.  Texts stay where they are read while the list of dropped lines is small
+enough to be sent to them, and move once where it is not.
 """
 
 from __future__ import annotations
@@ -30,105 +31,97 @@ from chatterforge.llm.common import id_text, materialize
 DEPTH = 2
 MIN_DOCS = 3
 MIN_TOKENS = 3
-BLANKS = r"[ \t\r\f]+"
-FIELD = r"[^ \t\r\f]*[0-9][^ \t\r\f]*"
+FIELD = "[^ ]*[0-9][^ ]*"
 WILD = "<*>"
-#: Leaves up to this number (8 bytes each) are broadcast to the second scan.
-BROADCAST_LEAVES = 1_000_000
+#: Rows of a table (at most about 100 bytes each) that is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 500_000
 
 
-def line_tokens(line: Column) -> Column:
-    """Tokens of a line, variable fields masked."""
-    bare = F.regexp_replace(line, r"^[ \t\r\f]+|[ \t\r\f]+$", "")
-    masked = F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, FIELD, WILD)).otherwise(bare)
-    return F.split(masked, BLANKS)
+def masked_line(line: Column) -> Column:
+    """A line with its variable fields masked."""
+    bare = F.trim(line)
+    return F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, FIELD, WILD)).otherwise(bare)
 
 
-def fixed(tokens: Column) -> Column:
-    return F.size(tokens) - F.size(F.filter(tokens, lambda t: t == WILD))
+def token_count(masked: Column) -> Column:
+    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
 
 
-def counts(tokens: Column, n_fixed: Column, min_tokens: int) -> Column:
+def wild_count(masked: Column) -> Column:
+    return ((F.length(masked) - F.length(F.replace(masked, F.lit(WILD), F.lit("")))) / len(WILD)).cast("int")
+
+
+def counts(n: Column, n_fixed: Column, min_tokens: int) -> Column:
     """Whether a template has enough fixed tokens."""
-    return (n_fixed >= min_tokens) & (n_fixed * 2 >= F.size(tokens))
+    return (n_fixed >= min_tokens) & (n_fixed * 2 >= n)
 
 
-def parsed(docs: DataFrame, depth: int) -> DataFrame:
-    """One row per line that has tokens: its document, place, tokens, leaf and form."""
+def parsed(docs: DataFrame, depth: int, *more: Column) -> DataFrame:
+    """One row per line that is not blank: its document, place, size, leaf and form."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    tokens = lines.select("doc_id", "digest", "line_no", line_tokens(F.col("line")).alias("tokens")).where("tokens[0] <> ''")
-    return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))).withColumn("form", F.xxhash64("tokens"))
+    masked = lines.select("doc_id", "digest", "line_no", masked_line(F.col("line")).alias("masked")).where("masked <> ''")
+    n = token_count(F.col("masked"))
+    return masked.select(
+        "doc_id",
+        "digest",
+        "line_no",
+        n.alias("n"),
+        (n - F.when(F.contains("masked", F.lit(WILD)), wild_count(F.col("masked"))).otherwise(0)).alias("n_fixed"),
+        F.xxhash64(n, F.substring_index("masked", " ", depth)).alias("leaf"),
+        F.xxhash64("masked").alias("form"),
+        *more,
+    )
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast a materialised table if it is small, else leave the join to shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def leaf_templates(lines: DataFrame, leaves: DataFrame, min_tokens: int) -> DataFrame:
-    """``leaf, form, template`` for the forms that share a template with fewer fixed tokens."""
-    n = leaves.count()
-    wanted = F.broadcast(leaves) if n <= BROADCAST_LEAVES else leaves
-    forms = lines.join(wanted, "leaf").groupBy("leaf", "form", "n_forms").agg(F.first("tokens").alias("tokens"))
-    forms = materialize(forms)
-    places = forms.select("leaf", "form", "n_forms", F.posexplode("tokens").alias("place", "token"))
-    common = places.groupBy("leaf", "place", "token", "n_forms").agg(F.count(F.lit(1)).alias("n")).where("n * 2 > n_forms").drop("n", "n_forms")
+    """``leaf, form, template`` for the forms that share a template with fewer fixed tokens.
+
+    ``lines`` has leaf, form and masked.
+    """
+    forms = lines.select("leaf", "form", "masked").join(_small(leaves), "leaf").groupBy("leaf", "form", "n_forms").agg(F.first("masked").alias("masked"))
+    forms = materialize(forms.select("leaf", "form", "n_forms", F.split("masked", " ").alias("tokens")))
+    places = forms.select("leaf", "n_forms", F.posexplode("tokens").alias("place", "token"))
+    common = places.groupBy("leaf", "place", "token", "n_forms").agg(F.count(F.lit(1)).alias("n")).where("n * 2 > n_forms")
+    # At most one token can be in more than half of the forms at a place.
     common = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("common"))
     shaped = forms.join(common, "leaf").select(
         "leaf",
         "form",
         F.transform("tokens", lambda t, i: F.when(F.element_at("common", i) == t, t).otherwise(F.lit(WILD))).alias("shape"),
     )
-    return shaped.where(counts(F.col("shape"), fixed(F.col("shape")), min_tokens)).select("leaf", "form", F.xxhash64("shape").alias("template"))
+    n_fixed = F.size(F.filter("shape", lambda t: t != WILD))
+    return shaped.where(counts(F.size("shape"), n_fixed, min_tokens)).select("leaf", "form", F.xxhash64("shape").alias("template"))
 
 
 def repeated_lines(
     docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS
 ) -> DataFrame:
     """``doc_id, digest, origin, lines, words``: lines to drop, by the document that has them first."""
-    lines = parsed(docs, depth)
-    whole = F.when(counts(F.col("tokens"), fixed(F.col("tokens")), min_tokens), F.size("tokens"))
-    seen = lines.select("doc_id", "digest", "line_no", "leaf", "form", whole.alias("words"), F.size("tokens").alias("size"))
-    # A form of a document is one row, however often the document repeats it.
-    seen = materialize(
-        seen.groupBy("leaf", "form", "doc_id", "digest").agg(
-            F.collect_list("line_no").alias("lines"), F.first("words").alias("words"), F.first("size").alias("size")
-        )
-    )
-    forms = seen.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"))
-    leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_forms"), F.sum("n").alias("n"))
-    leaves = materialize(leaves.where((F.col("n_forms") > 1) & (F.col("n") >= min_docs)).select("leaf", "n_forms"))
-    shapes = leaf_templates(lines, leaves, min_tokens)
-    named = seen.join(shapes, ["leaf", "form"], "left")
-    named = named.select(
-        "leaf",
-        F.coalesce("template", F.when(F.col("words").isNotNull(), F.col("form"))).alias("key"),
-        "doc_id",
-        "digest",
-        "lines",
-        "size",
-    ).where("key is not null")
-    named = materialize(named)
-    firsts = named.groupBy("leaf", "key").agg(
-        F.min(F.struct("doc_id", "digest", F.array_min("lines").alias("line_no"))).alias("first"),
-        # A document can hold several forms of a template; only few templates come near the bound.
-        F.count(F.lit(1)).alias("n"),
-    )
-    exact = named.join(firsts.where(F.col("n") >= min_docs).select("leaf", "key"), ["leaf", "key"], "left_semi")
-    exact = exact.select("leaf", "key", "doc_id", "digest").distinct().groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("n_docs"))
-    often = exact.where(F.col("n_docs") >= min_docs).join(firsts, ["leaf", "key"]).select("leaf", "key", "first")
-    found = named.join(often, ["leaf", "key"]).select(
-        "doc_id",
-        "digest",
-        F.col("first.doc_id").alias("origin"),
-        F.when(
-            F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")),
-            F.array_except("lines", F.array("first.line_no")),
-        )
-        .otherwise(F.col("lines"))
-        .alias("lines"),
-        "size",
-    )
+    lines = materialize(parsed(docs, depth))
+    forms = materialize(lines.groupBy("leaf", "form", "n", "n_fixed").agg(F.count(F.lit(1)).alias("rows")))
+    leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_forms"), F.sum("rows").alias("rows"))
+    leaves = materialize(leaves.where((F.col("n_forms") > 1) & (F.col("rows") >= min_docs)).select("leaf", "n_forms"))
+    shapes = materialize(leaf_templates(parsed(docs, depth, F.col("masked")), leaves, min_tokens))
+    own = F.when(counts(F.col("n"), F.col("n_fixed"), min_tokens), F.col("form"))
+    named = forms.join(shapes, ["leaf", "form"], "left").select("leaf", "form", "rows", F.coalesce("template", own).alias("key")).where("key is not null")
+    often = named.groupBy("leaf", "key").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= min_docs)
+    keys = materialize(named.join(often.select("leaf", "key"), ["leaf", "key"]).select("leaf", "form", "key"))
+    # Only lines of templates with rows enough are left; documents are counted among these.
+    found = materialize(lines.join(_small(keys), ["leaf", "form"]).select("leaf", "key", "doc_id", "digest", "line_no", "n"))
+    held = found.groupBy("leaf", "key", "doc_id", "digest").agg(F.min("line_no").alias("line_no"))
+    kept = held.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "digest", "line_no")).alias("first"))
+    kept = _small(materialize(kept.where(F.col("n_docs") >= min_docs).select("leaf", "key", "first")))
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")) & (F.col("line_no") == F.col("first.line_no"))
     return (
-        found.select("doc_id", "digest", "origin", "lines", (F.size("lines") * F.col("size")).alias("words"))
-        .where(F.size("lines") > 0)
-        .groupBy("doc_id", "digest", "origin")
-        .agg(F.flatten(F.collect_list("lines")).alias("lines"), F.sum("words").alias("words"))
+        found.join(kept, ["leaf", "key"])
+        .where(~first)
+        .groupBy("doc_id", "digest", F.col("first.doc_id").alias("origin"))
+        .agg(F.collect_set("line_no").alias("lines"), F.sum("n").alias("words"))
     )
 
 
@@ -150,20 +143,25 @@ def dedup_lines(
     ``dropped_lines``, which is replaced.  An empty table gives an empty result.
     """
     found = repeated_lines(id_text(docs, id_col, text_col), depth, min_docs, min_tokens)
-    lists = found.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("origin", "lines", "words")).alias("__found"))
-    lists = lists.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "__found")
-    same = docs[id_col].cast("bigint").eqNullSafe(lists["__id"]) & (
-        F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == lists["__digest"]
+    # Names that no column of the table has.
+    spare = "_" * (1 + max(len(c) for c in docs.columns))
+    id_name, digest_name, found_name = (spare + n for n in ("id", "digest", "found"))
+    lists = found.groupBy(F.col("doc_id").alias(id_name), F.col("digest").alias(digest_name)).agg(
+        F.collect_list(F.struct("origin", "lines", "words")).alias(found_name)
+    )
+    lists = _small(materialize(lists))
+    same = docs[id_col].cast("bigint").eqNullSafe(lists[id_name]) & (
+        F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == lists[digest_name]
     )
     met = docs.join(lists, same, "left")
     text = F.col(f"`{text_col}`").cast("string")
     all_lines = F.split(text, "\n")
-    filled = F.size(F.filter(all_lines, lambda x: x.rlike(r"[^ \t\r\f]")))
-    n_words = F.size(F.filter(F.split(text, r"[ \t\r\f\n]+"), lambda x: x != ""))
+    filled = F.size(F.filter(all_lines, lambda x: F.trim(x) != ""))
+    n_words = F.aggregate(all_lines, F.lit(0), lambda total, x: total + F.when(F.trim(x) != "", token_count(F.trim(x))).otherwise(0))
     copies = lambda g: (g["words"] * 2 >= n_words) & ((F.size(g["lines"]) >= 2) | (F.size(g["lines"]) >= filled))
     dropped = F.when(
-        F.col("__found").isNotNull() & ~F.exists("__found", copies),
-        F.array_sort(F.flatten(F.transform("__found", lambda g: g["lines"]))),
+        F.col(found_name).isNotNull() & ~F.exists(found_name, copies),
+        F.array_sort(F.flatten(F.transform(found_name, lambda g: g["lines"]))),
     ).otherwise(F.array().cast("array<int>"))
     kept = F.when(
         F.size("dropped_lines") > 0,
