@@ -134,14 +134,12 @@ def disclosing_terms(texts: DataFrame, support: int = SUPPORT, least: float = GE
     wanted = _small(materialize(together.select("term").distinct()))
     # Each of m copies of a text counts 1 / m, so that the counts are summed where the texts are read.
     copies = materialize(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("m")))
-    n = copies.agg(F.count(F.lit(1)).alias("n_all"))
+    n = F.lit(copies.count())
     several = _small(materialize(copies.where("m > 1")))
     weighed = texts.join(several, "digest", "left").select((1 / F.coalesce("m", F.lit(1))).alias("weight"), F.explode(terms).alias("term"))
     n_t = weighed.join(wanted, "term").groupBy("term").agg(F.round(F.sum("weight"), 3).alias("n_t"))
-    pmi = F.log(F.col("n_all") * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    scored = together.join(n_t, "term").crossJoin(F.broadcast(n)).where("n_all > n_c").select(
-        "term", (pmi / F.log(F.col("n_all") / F.col("n_c"))).alias("d")
-    )
+    pmi = F.log(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    scored = together.join(n_t, "term").where(F.col("n_c") < n).select("term", (pmi / F.log(n / F.col("n_c"))).alias("d"))
     risky = materialize(scored.groupBy("term").agg(F.max("d").alias("disclosure")).where(F.col("disclosure") >= least))
     placed = texts.select("digest", F.explode(terms).alias("term")).join(_small(risky), "term").distinct()
     held = placed.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
