@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterforge.functions import text as T
+from chatterforge.operators.ordered import PART, placed, with_previous, with_running_sum
 
 SELF, TARGET, OTHER = "self", "target", "other"
 # The spellings of a participant, and the older role names.
@@ -70,34 +71,40 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return later.cast("double") - earlier.cast("double")
 
 
-def message_turns(messages: DataFrame, turn_gap_seconds: float = 300, merge_unknown_timestamps: bool = False) -> DataFrame:
+def message_turns(
+    messages: DataFrame, turn_gap_seconds: float = 300, merge_unknown_timestamps: bool = False, spread: bool = False
+) -> DataFrame:
     """Prepared messages with their ``turn_no``, from 0 in each transcript.
 
     A message goes on with the turn before it if channel, session, speaker and
     author are the same and it came within the gap of the previous message.
     An unknown time is never close, unless both are unknown and that is allowed.
+    With ``spread`` one transcript may hold any share of all messages.
     """
     if turn_gap_seconds < 1:
         raise ValueError("turn_gap_seconds must be at least 1")
-    order = Window.partitionBy("transcript_id").orderBy("pos")
-    before = lambda c: F.lag(c).over(order)
-    close = F.coalesce(seconds_between(F.col("ts"), before("ts")) <= turn_gap_seconds, F.lit(False))
+    rows = placed(prepared(messages), "transcript_id", "pos", spread)
+    rows = with_previous(rows, "transcript_id", "pos", ["ts", "channel_id", "source_session", "participant", "author_id"], spread)
+    last = F.col("previous")
+    close = F.coalesce(seconds_between(F.col("ts"), last["ts"]) <= turn_gap_seconds, F.lit(False))
     if merge_unknown_timestamps:
-        close = close | (F.col("ts").isNull() & before("ts").isNull())
+        close = close | (F.col("ts").isNull() & last["ts"].isNull())
     same = (
-        F.col("channel_id").eqNullSafe(before("channel_id"))
-        & F.col("source_session").eqNullSafe(before("source_session"))
-        & (F.col("participant") == before("participant"))
-        & (F.col("author_id") == before("author_id"))
+        F.col("channel_id").eqNullSafe(last["channel_id"])
+        & F.col("source_session").eqNullSafe(last["source_session"])
+        & (F.col("participant") == last["participant"])
+        & (F.col("author_id") == last["author_id"])
     )
-    goes_on = before("pos").isNotNull() & F.coalesce(same & close, F.lit(False))
-    numbered = F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return prepared(messages).withColumn("goes_on", goes_on).withColumn("turn_no", numbered).drop("goes_on")
+    goes_on = last.isNotNull() & F.coalesce(same & close, F.lit(False))
+    numbered = with_running_sum(rows, "transcript_id", "pos", F.when(goes_on, 0).otherwise(1), "turn_no", spread)
+    return numbered.withColumn("turn_no", F.col("turn_no") - 1).drop("previous", PART)
 
 
-def aggregate_turns(messages: DataFrame, turn_gap_seconds: float = 300, merge_unknown_timestamps: bool = False) -> DataFrame:
+def aggregate_turns(
+    messages: DataFrame, turn_gap_seconds: float = 300, merge_unknown_timestamps: bool = False, spread: bool = False
+) -> DataFrame:
     """One row per turn: text joined by line ends, source ids, first and last time."""
-    rows = message_turns(messages, turn_gap_seconds, merge_unknown_timestamps)
+    rows = message_turns(messages, turn_gap_seconds, merge_unknown_timestamps, spread)
     parts = F.array_sort(F.collect_list(F.struct("pos", "content", "source_id", "ts")))
     fixed = ["participant", "author_id", "author_label", "channel_id", "source_session"]
     turns = rows.groupBy("transcript_id", "turn_no").agg(parts.alias("parts"), *[F.min_by(c, "pos").alias(c) for c in fixed])
@@ -118,7 +125,7 @@ def aggregate_turns(messages: DataFrame, turn_gap_seconds: float = 300, merge_un
     )
 
 
-def sessionize(turns: DataFrame, session_gap_seconds: float = 1800) -> DataFrame:
+def sessionize(turns: DataFrame, session_gap_seconds: float = 1800, spread: bool = False) -> DataFrame:
     """``turns`` with ``session_id``, from 0 in each transcript.
 
     A session ends where channel or source session change, where known and
@@ -126,17 +133,18 @@ def sessionize(turns: DataFrame, session_gap_seconds: float = 1800) -> DataFrame
     """
     if session_gap_seconds < 1:
         raise ValueError("session_gap_seconds must be at least 1")
-    order = Window.partitionBy("transcript_id").orderBy("turn_no")
-    before = lambda c: F.lag(c).over(order)
+    rows = placed(turns, "transcript_id", "turn_no", spread)
+    rows = with_previous(rows, "transcript_id", "turn_no", ["end_ts", "channel_id", "source_session"], spread)
+    last = F.col("previous")
     new = (
-        before("turn_no").isNull()
-        | ~F.col("channel_id").eqNullSafe(before("channel_id"))
-        | ~F.col("source_session").eqNullSafe(before("source_session"))
-        | (F.col("ts").isNull() != before("end_ts").isNull())
-        | F.coalesce(seconds_between(F.col("ts"), before("end_ts")) > session_gap_seconds, F.lit(False))
+        last.isNull()
+        | ~F.col("channel_id").eqNullSafe(last["channel_id"])
+        | ~F.col("source_session").eqNullSafe(last["source_session"])
+        | (F.col("ts").isNull() != last["end_ts"].isNull())
+        | F.coalesce(seconds_between(F.col("ts"), last["end_ts"]) > session_gap_seconds, F.lit(False))
     )
-    counted = F.sum(F.when(F.col("__new"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return turns.withColumn("__new", new).withColumn("session_id", counted).drop("__new")
+    counted = with_running_sum(rows, "transcript_id", "turn_no", F.when(new, 1).otherwise(0), "session_id", spread)
+    return counted.withColumn("session_id", F.col("session_id") - 1).drop("previous", PART)
 
 
 def known_time_sessions(events: DataFrame, keys: list[str], ts: str, gap_seconds: int = 1800) -> DataFrame:

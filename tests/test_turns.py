@@ -85,8 +85,10 @@ def test_violations(spark):
         require_valid(table(spark, rows))
 
 
-@pytest.mark.parametrize("gap,session_gap,unknown,w", [(300, 1800, False, 6), (300, 1800, True, 3), (300, 60, False, 2)])
-def test_random_transcripts_against_the_model(spark, gap, session_gap, unknown, w):
+@pytest.mark.parametrize(
+    "gap,session_gap,unknown,w,spread", [(300, 1800, False, 6, False), (300, 1800, True, 3, True), (300, 60, False, 2, False), (300, 1800, False, 4, True)]
+)
+def test_random_transcripts_against_the_model(spark, gap, session_gap, unknown, w, spread):
     rng = random.Random(w)
     rows, expected = [], {}
     for n in range(60):
@@ -101,7 +103,7 @@ def test_random_transcripts_against_the_model(spark, gap, session_gap, unknown,
         found = model.sessions(model.turns(mine, gap, unknown), session_gap)
         expected[str(n)] = [[(t["participant"], t["content"], tuple(t["ids"])) for t in s] for s in found]
         expected[str(n), "w"] = [[(t["participant"], t["content"]) for t in h] for s in found for h in model.windows(s, w)]
-    turns = sessionize(aggregate_turns(table(spark, rows), gap, unknown), session_gap)
+    turns = sessionize(aggregate_turns(table(spark, rows), gap, unknown, spread), session_gap, spread)
     got: dict = {}
     for r in turns.orderBy("transcript_id", "turn_no").collect():
         mine = got.setdefault(r["transcript_id"], [])
@@ -117,6 +119,24 @@ def test_random_transcripts_against_the_model(spark, gap, session_gap, unknown,
     assert usable == build_windows(turns, w).select("transcript_id", "session_id").distinct().count()
 
 
+def test_one_transcript_over_many_partitions(spark):
+    """A transcript far larger than a partition gives the same turns and sessions when it is spread."""
+    rng = random.Random(9)
+    at, rows = 0, []
+    for i in range(3000):
+        at += rng.choice([0, 30, 300, 301, 1800, 1801])
+        rows.append(say(i, rng.choice(["self", "target"]), None if rng.random() < 0.1 else at, transcript_id="big" if i % 50 else "small"))
+    df = table(spark, rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        spread = sessionize(aggregate_turns(df, spread=True), spread=True).orderBy("transcript_id", "turn_no").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert spread == sessionize(aggregate_turns(df)).orderBy("transcript_id", "turn_no").collect()
+
+
 def blocks(spark, n, text=None):
     rows = []
     for s in range(n):
