@@ -3,6 +3,9 @@
 A byte goes if a ``WIDTH``-byte string that covers it also starts earlier (in a smaller
 document, or earlier in the same one).
 
+*Which texts.*  Of texts that are equal as a whole only the earliest is looked at: every
+window of a later one starts earlier in it, so all of the later one goes.
+
 *Which suffixes.*  Each window of ``WIDTH`` bytes is represented by its anchor: the
 place of the smallest hash among its ``GRAM``-byte strings, leftmost on ties.  Equal windows have
 their anchors at the same offset, so two windows are equal if and only if the
@@ -28,6 +31,7 @@ Equal ones are folded within a run first, so a group is never larger than the nu
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -242,6 +246,17 @@ def fold_run(suffixes: list[tuple], width: int) -> tuple[list[tuple], list[tuple
     return kept, repeats
 
 
+def joined_ranges(ranges: list[tuple]) -> list[tuple]:
+    """(id, tag, start, stop) ranges, those that touch within a document made one."""
+    joined: list[tuple] = []
+    for k, t, b, e in sorted(ranges):
+        if joined and joined[-1][:2] == (k, t) and b <= joined[-1][3]:
+            joined[-1] = (k, t, joined[-1][2], max(e, joined[-1][3]))
+        else:
+            joined.append((k, t, b, e))
+    return joined
+
+
 def pack_run(suffixes: list[tuple], width: int) -> pa.RecordBatch:
     """Front-coded blocks of one run, one per shard, and the repeats found inside the run."""
     kept, repeats = fold_run(suffixes, width)
@@ -254,16 +269,16 @@ def pack_run(suffixes: list[tuple], width: int) -> pa.RecordBatch:
                 "shard": shard,
                 "shared": shared,
                 "lengths": lengths,
-                "rests": rests,
+                "rests": zlib.compress(rests, 1),
                 "low": bytes(s[3] for s in part),
                 "high": bytes(s[4] for s in part),
-                "befores": b"".join(s[2] for s in part),
+                "befores": zlib.compress(b"".join(s[2] for s in part), 1),
                 "ids": np.array([s[5] for s in part], "<i8").tobytes(),
                 "tags": np.array([s[6] for s in part], "<i8").tobytes(),
                 "places": np.array([s[7] for s in part], "<i8").tobytes(),
             }
         )
-    rows += [{"key": k, "tag": t, "start": b, "stop": e} for k, t, b, e in repeats]
+    rows += [{"key": k, "tag": t, "start": b, "stop": e} for k, t, b, e in joined_ranges(repeats)]
     return pa.RecordBatch.from_pylist(rows, _RUN_FIELDS)
 
 
@@ -332,14 +347,15 @@ def merged_shard(blocks: list[dict], width: int) -> pa.RecordBatch:
     runs, columns = [], {n: [] for n in ("low", "high", "ids", "tags", "places")}
     befores, offsets = [], [0]
     for b in blocks:
-        runs.append((front_decode(b["shared"], b["lengths"], b["rests"]), b["shared"]))
+        runs.append((front_decode(b["shared"], b["lengths"], zlib.decompress(b["rests"])), b["shared"]))
+        before = zlib.decompress(b["befores"])
         high = np.frombuffer(b["high"], np.uint8).astype(np.int64)
         columns["low"].append(np.frombuffer(b["low"], np.uint8).astype(np.int64))
         columns["high"].append(high)
         for name in ("ids", "tags", "places"):
             columns[name].append(np.frombuffer(b[name], "<i8"))
         ends = np.cumsum(high)
-        befores += [b["befores"][s:e] for s, e in zip((ends - high).tolist(), ends.tolist())]
+        befores += [before[s:e] for s, e in zip((ends - high).tolist(), ends.tolist())]
         offsets.append(offsets[-1] + len(high))
     run, index, shared = merge_runs(runs)
     order = np.array(offsets)[run] + np.array(index)
@@ -372,28 +388,30 @@ def _merge_batches(width: int) -> Callable:
     return run
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
-        for tag, text, found in zip(batch["tag"].to_pylist(), utf8(batch["text"]), batch["found"].to_pylist()):
-            spans: list[list[int]] = []
-            for start, stop in sorted((f["start"], f["stop"]) for f in found or () if f["tag"] == tag):
-                if spans and start <= spans[-1][1]:
-                    spans[-1][1] = max(stop, spans[-1][1])
-                else:
-                    spans.append([start, stop])
-            kept, at = [], 0
-            for start, stop in spans:
-                kept.append(text[at:start])
-                at = stop
-            left = b"".join([*kept, text[at:]])
-            flat = [x for s in spans for x in s]
-            for column, value in zip(rows, (len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), flat)):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], *(pa.array(r, k) for r, k in zip(rows, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
-        )
+def _cut_batches(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[], [], [], [], []]
+            for tag, text, first, found in zip(*(batch[n].to_pylist() for n in ("tag", "text", "first", "found"))):
+                text = text.encode()
+                spans = joined_ranges([(0, 0, f["start"], f["stop"]) for f in found or () if f["tag"] == tag])
+                if not first:
+                    spans = [(0, 0, 0, len(text))] if len(text) >= width else []
+                kept, at = [], 0
+                for _, _, start, stop in spans:
+                    kept.append(text[at:start])
+                    at = stop
+                left = b"".join([*kept, text[at:]])
+                flat = [x for s in spans for x in s[2:]]
+                for column, value in zip(rows, (len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), flat)):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(r, k) for r, k in zip(rows, kinds))], _RESULT)
+
+    return run
+
+
+_RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
 
 
 def remove_repeats(
@@ -415,18 +433,21 @@ def remove_repeats(
     # One exchange of the texts, by id, serves all three readings.
     named = named.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).repartition("key")
     texts = named.withColumn("tag", F.dense_rank().over(Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))).cast("bigint"))
-    placed = texts.select("key", "tag", "text").mapInArrow(_anchor_batches(width, gram), "key bigint, tag bigint, gram bigint, place bigint")
+    earliest = texts.groupBy(F.md5("text").alias("digest")).agg(F.min(F.struct("key", "tag")).alias("e"))
+    earliest = earliest.groupBy(F.col("e.key").alias("key")).agg(F.collect_list("e.tag").alias("tags"))
+    texts = texts.join(earliest, "key", "left").withColumn("first", F.coalesce(F.array_contains("tags", F.col("tag")), F.lit(False)))
+    placed = texts.where("first").select("key", "tag", "text").mapInArrow(_anchor_batches(width, gram), "key bigint, tag bigint, gram bigint, place bigint")
     counted = placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1")
     found = counted.groupBy("key").agg(
         F.collect_list(
             F.struct("tag", "place", F.pmod("gram", F.lit(shards)).cast("int").alias("shard"), (F.col("n") > hot).alias("hot"))
         ).alias("found")
     )
-    runs = texts.join(found, "key").select("key", "tag", "text", "found").mapInArrow(_run_batches(width, shards), _RUN_SCHEMA)
+    runs = texts.where("first").join(found, "key").select("key", "tag", "text", "found").mapInArrow(_run_batches(width, shards), _RUN_SCHEMA)
     by_shard = F.coalesce("shard", F.pmod(F.hash("key", "start"), F.lit(shards)))
     dealt = runs.repartition(by_shard).sortWithinPartitions("shard")
     ranges = dealt.mapInArrow(_merge_batches(width), "key bigint, tag bigint, start bigint, stop bigint")
     gathered = ranges.groupBy("key").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("found"))
-    return texts.join(gathered, "key", "left").select("doc_id", "tag", "text", "found").mapInArrow(
-        _cut_batches, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<bigint>"
+    return texts.join(gathered, "key", "left").select("doc_id", "tag", "text", "first", "found").mapInArrow(
+        _cut_batches(width), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<bigint>"
     )
