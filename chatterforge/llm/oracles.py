@@ -110,6 +110,27 @@ SELECT doc_id, coalesce(len(d), 0) AS n_dropped, coalesce(array_to_string(d, ','
 FROM split LEFT JOIN dropped USING (doc_id)"""
 
 
+def paragraph_dedup(size: int = 5, least: float = 0.8) -> str:
+    return f"""
+WITH RECURSIVE split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS no, {_WORDS.format('unnest(l)')} AS w FROM split),
+paras AS (SELECT doc_id, no, array_to_string(w, ' ') AS k, w FROM lines WHERE len(w) >= {size}),
+reps AS (SELECT k, min({{'d': doc_id, 'n': no}}) AS head, any_value(w) AS w FROM paras GROUP BY 1),
+ids AS (SELECT *, row_number() OVER (ORDER BY head) AS id FROM reps),
+sets AS (SELECT id, list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' '))) AS g FROM ids),
+grams AS (SELECT id, len(g) AS n, unnest(g) AS g FROM sets),
+links AS (SELECT a.id AS x, b.id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n
+  HAVING count(*) >= {least}::DOUBLE * (a.n + b.n - count(*))),
+reach(x, y) AS (SELECT DISTINCT x, x FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+classes AS (SELECT x AS id, min(y) AS c FROM reach GROUP BY 1),
+heads AS (SELECT i.k, h.head FROM ids i LEFT JOIN classes USING (id) JOIN ids h ON h.id = coalesce(c, i.id)),
+gone AS (SELECT doc_id, no, head FROM paras JOIN heads USING (k) WHERE NOT (doc_id = head.d AND no = head.n)),
+found AS (SELECT doc_id, list(no) AS d, string_agg(no || ':' || head.d || ':' || head.n, ',' ORDER BY no) AS removed FROM gone GROUP BY 1)
+SELECT doc_id, len(l) AS n_lines, coalesce(len(d), 0) AS n_removed, coalesce(removed, '') AS removed,
+  sha256(CASE WHEN d IS NULL THEN array_to_string(l, chr(10)) ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(d, i - 1)), chr(10)) END) AS kept_sha256
+FROM split LEFT JOIN found USING (doc_id)"""
+
+
 _ENTITIES = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
     "ip": (
@@ -162,6 +183,7 @@ FROM docs LEFT JOIN found USING (doc_id)"""
 
 ORACLE_SQL = {
     "op1_bm25_topk": bm25(),
+    "op2_paragraph_dedup": paragraph_dedup(),
     "op3_pii_disclosure": pii_disclosure(),
     "op6_suffix_dedup": suffix_dedup(),
     "op7_decontaminate": decontaminate(),
