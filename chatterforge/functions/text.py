@@ -95,6 +95,11 @@ def redact(c: Column | str, keep: int = 3) -> Column:
     return F.when(n <= keep, F.repeat(F.lit("*"), n)).otherwise(shown)
 
 
+def mask_token(c: Column | str, token: str) -> Column:
+    """The text with every occurrence of a secret token replaced."""
+    return F.replace(_text(c), F.lit(token), F.lit("[REDACTED_TOKEN]")) if token else _text(c)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined runs of n consecutive tokens."""
     starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)

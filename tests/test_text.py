@@ -81,6 +81,11 @@ def test_redact(spark, value, expected):
     assert one(spark, T.redact("t"), value) == expected
 
 
+def test_mask_token(spark):
+    assert one(spark, T.mask_token("t", "s3.c"), "a s3.c b s3xc") == "a [REDACTED_TOKEN] b s3xc"
+    assert one(spark, T.mask_token("t", ""), "a") == "a"
+
+
 def test_similarities(spark):
     pair = lambda f, a, b: spark.createDataFrame([(a, b)], "a double, b double").select(f(F.col("a"), F.col("b")).alias("r")).first()["r"]
     assert pair(T.ratio_similarity, 0.0, 0.0) == 1 and pair(T.ratio_similarity, 2.0, 4.0) == 0.5

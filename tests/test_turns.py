@@ -196,3 +196,19 @@ def test_trim_history(spark):
     assert [r["pos"] for r in kept] == [0, 3, 4, 5]
     with pytest.raises(Exception, match="does not fit"):
         trim_history(df, F.lit(1), 1, ["chat"]).collect()
+
+
+def test_short_forms(spark):
+    from chatterforge.plans.compat import build_conversations, group_consecutive_messages, split_conversations
+
+    rows = [say(2 * s + i, ("self", "target")[i], 7200 * s + 60 * i) for s in range(4) for i in range(2)]
+    turns = group_consecutive_messages(table(spark, rows))
+    assert turns.count() == 8 and build_conversations(turns).count() == 4
+    train, val = split_conversations(turns, 0.25)
+    assert (train.count(), val.count()) == (3, 1)
+    assert [x.count() for x in split_conversations(turns, 0.0)] == [4, 0]
+    for bad, of in ((1.0, turns), (0.5, turns.where("turn_no < 2")), (0.1, turns.where("participant = 'self'"))):
+        with pytest.raises(ValueError):
+            split_conversations(of, bad)
+    with pytest.raises(ValueError):
+        group_consecutive_messages(table(spark, rows), 10, 5)
