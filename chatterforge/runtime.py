@@ -18,7 +18,11 @@ def shared_checkpoints(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder and cut the lineage."""
+    """Compute once into the shared folder and cut the lineage.
+
+    A lost executor costs a re-read of the folder, never a recomputation of what
+    came before it.
+    """
     shared_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
