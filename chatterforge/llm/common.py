@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatterforge.runtime import materialize, shared_checkpoints
+
+__all__ = ["ALNUM_TABLE", "LOWER_TABLE", "alnum_words", "id_text", "materialize", "shared_checkpoints", "table", "utf8"]
+
 #: Lower-cases A-Z and turns every ASCII byte that is neither a digit nor a
 #: letter into a space.  Bytes from 0x80 up belong to non-ASCII characters and
 #: count as word bytes, so this works on UTF-8 without decoding it.
@@ -34,24 +36,6 @@ def utf8(column) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder named by the session; set one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once, keep in the shared checkpoint folder and cut the lineage.
-
-    A lost executor costs a re-read of the checkpoint, never a recomputation of
-    what came before it.
-    """
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator works on, so other columns cannot clash."""
     return docs.select(
