@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatterforge.runtime import materialize, shared_checkpoints
 
-__all__ = ["ALNUM_TABLE", "LOWER_TABLE", "alnum_words", "id_text", "materialize", "shared_checkpoints", "table", "utf8"]
+__all__ = ["ALNUM_TABLE", "LOWER_TABLE", "alnum_words", "id_text", "materialize", "sendable", "shared_checkpoints", "table", "utf8"]
 
 #: Lower-cases A-Z and turns every ASCII byte that is neither a digit nor a
 #: letter into a space.  Bytes from 0x80 up belong to non-ASCII characters and
@@ -36,6 +36,11 @@ def utf8(column) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+def sendable(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a materialised table of at most so many rows, else leave the join to shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator works on, so other columns cannot clash."""
     return docs.select(

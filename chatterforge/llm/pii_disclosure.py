@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterforge.llm.common import id_text, materialize
+from chatterforge.llm.common import id_text, materialize, sendable
 
 # What counts as each kind of personal data.
 KINDS = ("email", "ip", "card", "phone")
@@ -111,11 +111,6 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a materialised table if it is small, else leave the join to shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def disclosing_terms(texts: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """``term, disclosure`` of the terms to treat, and ``digest, terms`` of the texts that hold them.
 
@@ -131,17 +126,17 @@ def disclosing_terms(texts: DataFrame, support: int = SUPPORT, least: float = GE
     together = met.select("kind", "value", "n_c", F.explode(terms).alias("term"))
     together = together.groupBy("kind", "value", "n_c", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
     together = materialize(together)
-    wanted = _small(materialize(together.select("term").distinct()))
+    wanted = sendable(materialize(together.select("term").distinct()), BROADCAST_ROWS)
     # Each of m copies of a text counts 1 / m, so that the counts are summed where the texts are read.
     copies = materialize(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("m")))
     n = F.lit(copies.count())
-    several = _small(materialize(copies.where("m > 1")))
+    several = sendable(materialize(copies.where("m > 1")), BROADCAST_ROWS)
     weighed = texts.join(several, "digest", "left").select((1 / F.coalesce("m", F.lit(1))).alias("weight"), F.explode(terms).alias("term"))
     n_t = weighed.join(wanted, "term").groupBy("term").agg(F.round(F.sum("weight"), 3).alias("n_t"))
     pmi = F.log(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     scored = together.join(n_t, "term").where(F.col("n_c") < n).select("term", (pmi / F.log(n / F.col("n_c"))).alias("d"))
     risky = materialize(scored.groupBy("term").agg(F.max("d").alias("disclosure")).where(F.col("disclosure") >= least))
-    placed = texts.select("digest", F.explode(terms).alias("term")).join(_small(risky), "term").distinct()
+    placed = texts.select("digest", F.explode(terms).alias("term")).join(sendable(risky, BROADCAST_ROWS), "term").distinct()
     held = placed.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
     return risky, held
 
@@ -177,7 +172,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     """
     texts = id_text(docs, id_col, text_col).withColumn("digest", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
     _, held = disclosing_terms(texts, support)
-    met = texts.join(_small(materialize(held)), "digest", "left")
+    met = texts.join(sendable(materialize(held), BROADCAST_ROWS), "digest", "left")
     words = F.array_join(F.array_sort(F.map_keys("terms")), "|")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), words, F.lit(r")(?!\p{L})"))
     hits = match_spans(F.col("text"), pattern, "removed")
