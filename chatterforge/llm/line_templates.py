@@ -26,13 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterforge.llm.common import id_text, materialize
+from chatterforge.llm.common import id_text, materialize, sendable
 
 DEPTH = 2
 MIN_DOCS = 3
 MIN_TOKENS = 3
 FIELD = "[^ ]*[0-9][^ ]*"
 WILD = "<*>"
+#: Forms of a leaf that are looked at together in one row.
+FEW_FORMS = 8
 #: Rows of a table (at most about 100 bytes each) that is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -73,27 +75,29 @@ def parsed(docs: DataFrame, depth: int, *more: Column) -> DataFrame:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a materialised table if it is small, else leave the join to shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def leaf_templates(lines: DataFrame, leaves: DataFrame, min_tokens: int) -> DataFrame:
     """``leaf, form, template`` for the forms that share a template with fewer fixed tokens.
 
     ``lines`` has leaf, form and masked.
     """
-    forms = lines.select("leaf", "form", "masked").join(_small(leaves), "leaf").groupBy("leaf", "form", "n_forms").agg(F.first("masked").alias("masked"))
+    forms = lines.select("leaf", "form", "masked").join(sendable(leaves, BROADCAST_ROWS), "leaf").groupBy("leaf", "form", "n_forms").agg(F.first("masked").alias("masked"))
     forms = materialize(forms.select("leaf", "form", "n_forms", F.split("masked", " ").alias("tokens")))
-    places = forms.select("leaf", "n_forms", F.posexplode("tokens").alias("place", "token"))
+    # A leaf of few forms is decided in one row, a larger one by counts over its tokens.
+    few = forms.where(F.col("n_forms") <= FEW_FORMS).groupBy("leaf").agg(F.collect_list(F.struct("form", "tokens")).alias("all"))
+    alike = lambda t, i: F.size(F.filter("all", lambda f: F.get(f["tokens"], i) == t)) * 2 > F.size("all")
+    shape = lambda tokens: F.transform(tokens, lambda t, i: F.when(alike(t, i), t).otherwise(F.lit(WILD)))
+    small = few.select("leaf", F.explode(F.transform("all", lambda f: F.struct(f["form"].alias("form"), shape(f["tokens"]).alias("shape")))).alias("s"))
+    large = forms.where(F.col("n_forms") > FEW_FORMS)
+    places = large.select("leaf", "n_forms", F.posexplode("tokens").alias("place", "token"))
     common = places.groupBy("leaf", "place", "token", "n_forms").agg(F.count(F.lit(1)).alias("n")).where("n * 2 > n_forms")
     # At most one token can be in more than half of the forms at a place.
     common = common.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("common"))
-    shaped = forms.join(common, "leaf").select(
+    shaped = large.join(common, "leaf").select(
         "leaf",
         "form",
         F.transform("tokens", lambda t, i: F.when(F.element_at("common", i) == t, t).otherwise(F.lit(WILD))).alias("shape"),
     )
+    shaped = shaped.unionByName(small.select("leaf", "s.form", "s.shape"))
     n_fixed = F.size(F.filter("shape", lambda t: t != WILD))
     return shaped.where(counts(F.size("shape"), n_fixed, min_tokens)).select("leaf", "form", F.xxhash64("shape").alias("template"))
 
@@ -112,10 +116,10 @@ def repeated_lines(
     often = named.groupBy("leaf", "key").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= min_docs)
     keys = materialize(named.join(often.select("leaf", "key"), ["leaf", "key"]).select("leaf", "form", "key"))
     # Only lines of templates with rows enough are left; documents are counted among these.
-    found = materialize(lines.join(_small(keys), ["leaf", "form"]).select("leaf", "key", "doc_id", "digest", "line_no", "n"))
+    found = materialize(lines.join(sendable(keys, BROADCAST_ROWS), ["leaf", "form"]).select("leaf", "key", "doc_id", "digest", "line_no", "n"))
     held = found.groupBy("leaf", "key", "doc_id", "digest").agg(F.min("line_no").alias("line_no"))
     kept = held.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "digest", "line_no")).alias("first"))
-    kept = _small(materialize(kept.where(F.col("n_docs") >= min_docs).select("leaf", "key", "first")))
+    kept = sendable(materialize(kept.where(F.col("n_docs") >= min_docs).select("leaf", "key", "first")), BROADCAST_ROWS)
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")) & (F.col("line_no") == F.col("first.line_no"))
     return (
         found.join(kept, ["leaf", "key"])
@@ -149,7 +153,7 @@ def dedup_lines(
     lists = found.groupBy(F.col("doc_id").alias(id_name), F.col("digest").alias(digest_name)).agg(
         F.collect_list(F.struct("origin", "lines", "words")).alias(found_name)
     )
-    lists = _small(materialize(lists))
+    lists = sendable(materialize(lists), BROADCAST_ROWS)
     same = docs[id_col].cast("bigint").eqNullSafe(lists[id_name]) & (
         F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == lists[digest_name]
     )

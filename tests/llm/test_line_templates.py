@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+import pytest
+
 from chatterforge.llm import line_templates as L
 
 from .helpers import AWKWARD, SAME, awkward, documents, sha, texts
@@ -55,7 +57,10 @@ def result(df):
     return {r["doc_id"]: r["dropped_lines"] for r in df.select("doc_id", "dropped_lines").collect()}
 
 
-def test_plain_model_on_documents(spark):
+@pytest.mark.parametrize("few", [8, 0])
+def test_plain_model_on_documents(spark, few, monkeypatch):
+    monkeypatch.setattr(L, "FEW_FORMS", few)
+    monkeypatch.setattr(L, "BROADCAST_ROWS", L.BROADCAST_ROWS if few else 0)
     folder = "/root/testdata/sf0.01"
     expected = model(texts(spark, folder))
     assert sum(map(len, expected.values())) > 50
