@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from chatterforge.llm.common import materialize
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("a", "b") % F.lit(1 << 40)).alias("h"),
-    ).first()
-    return row["n"], row["h"]
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one edge and is no smaller end: then every component hangs on its smallest node."""
+    shared = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
+    inner = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select(F.col("a").alias("b"))
+    return shared.unionByName(inner).isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,14 +42,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     edges, aggregated before they move, and is checkpointed to the shared folder.
     """
     pairs = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null")
-    loops = pairs.where("s = d").select(F.col("s").alias("node")).distinct()
-    now = materialize(pairs.where("s <> d").select(F.least("s", "d").alias("a"), F.greatest("s", "d").alias("b")).distinct())
-    seen = _signature(now)
-    while seen[0]:
+    pairs = materialize(pairs.select(F.least("s", "d").alias("a"), F.greatest("s", "d").alias("b")).distinct())
+    loops = pairs.where("a = b").select(F.col("a").alias("node"))
+    now = pairs.where("a <> b")
+    while not _is_forest_of_stars(now):
         now = materialize(_small_star(_large_star(now)))
-        last, seen = seen, _signature(now)
-        if last == seen:
-            break
     starred = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     found = starred.unionByName(roots)

@@ -10,12 +10,14 @@ by their 128-bit digest.
 *Banding.*  ``BANDS`` bands of ``ROWS`` minima each: a pair at similarity s meets in
 1 - (1 - s**ROWS)**BANDS of cases, 0.992 at 0.8 and over 0.9999 at 0.9.
 
-*Verification without all pairs.*  In each band's bucket one paragraph is the pivot and is
-compared with those of the bucket that are not in its component yet; pairs that hold
-become links, and components are taken.  Buckets whose paragraphs lie in one component
-are settled; in the others the pivot steps aside and the next round compares the rest with
-another one, until every pair that met in a bucket was compared or is connected.  A
-bucket of n near copies thus costs about n comparisons and no link is lost.
+*Verification.*  In each band's bucket one paragraph is the pivot and is compared with the others;
+pairs that hold become links, and components are taken.  The pivot is the one that meets most
+paragraphs in all its buckets: the text that the others were copied from.  Buckets whose
+paragraphs then lie in one component are settled, so a bucket of n near copies
+costs n comparisons.  In the buckets that are still mixed, paragraphs of
+different components are compared too: in blocks of ``BLOCK_MEMBERS`` against each other, so that
+no task holds a whole bucket, and only links that join something leave a block.  Every pair
+that met in a bucket is thus compared or connected, and no link is lost.
 
 Of every component the first paragraph (smallest id, then line) stays.
 """
@@ -28,18 +30,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatterforge.llm.common import alnum_words, id_text, materialize, utf8
+from chatterforge.llm.common import alnum_words, id_text, materialize, sendable, utf8
 from chatterforge.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 6
 SEED = 7
-#: Documents (16 bytes each) whose list is broadcast to fetch their paragraphs; more are shuffled.
+BLOCK_MEMBERS = 1000
+#: Documents whose list is broadcast to fetch their paragraphs, and buckets (16 bytes each) that are broadcast
+#: to the bands; more are shuffled.
 BROADCAST_DOCS = 1_000_000
+BROADCAST_BUCKETS = 2_000_000
 #: Shingles hashed together.
 BLOCK = 4096
 
@@ -48,8 +53,8 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     """The distinct 64-bit hashes of a paragraph's shingles, sorted."""
     import xxhash
 
-    grams = set(map(b" ".join, zip(*(words[i:] for i in range(size)))))
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
+    grams = map(b" ".join, zip(*(words[i:] for i in range(size))))
+    return np.unique(np.array(list(map(xxhash.xxh64_intdigest, grams)), np.uint64))
 
 
 @lru_cache(maxsize=4)
@@ -142,36 +147,65 @@ def _jaccard_batches(least: float) -> Callable:
     return run
 
 
+def _compare_block(least: float) -> Callable:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = (k.as_py() for k in key[1:])
+        keys, components, chunks = (table[n].to_pylist() for n in ("key", "component", "chunk"))
+        sets = [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        theirs = [i for i, c in enumerate(chunks) if c == high]
+        grams = np.concatenate([sets[i] for i in theirs] or [np.zeros(0, "<u8")])
+        owners = np.repeat(np.array(theirs, np.int64), sizes[theirs] if theirs else 0)
+        order = np.argsort(grams, kind="stable")
+        grams, owners = grams[order], owners[order]
+        root = {c: c for c in components}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        links: list[tuple] = []
+        for x in (i for i, c in enumerate(chunks) if c == low):
+            left, right = np.searchsorted(grams, sets[x], "left"), np.searchsorted(grams, sets[x], "right")
+            counts = right - left
+            at = np.repeat(left - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            shared = np.bincount(owners[at], minlength=len(sets))
+            for y in np.flatnonzero((shared > 0) & (shared >= least * (sizes + sizes[x] - shared))).tolist():
+                a, b = find(components[x]), find(components[y])
+                if a != b:
+                    root[a] = b
+                    links.append((keys[x], keys[y]))
+        return pa.table([pa.array([p[i] for p in links], pa.binary()) for i in (0, 1)], ["src", "dst"])
+
+    return run
+
+
 def near_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``node, component`` of the paragraphs that are linked; ``members`` is bucket, key."""
-    links, labels = None, None
-    rest = materialize(members)
-    while True:
-        if labels is None:
-            labelled = rest.withColumn("component", F.col("key"))
-        else:
-            labelled = rest.join(labels, rest["key"] == labels["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-        order = F.struct(F.xxhash64("bucket", "key").alias("turn"), F.col("key").alias("key"), F.col("component").alias("component"))
-        pivots = labelled.groupBy("bucket").agg(
-            F.min(order).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high")
-        ).where("low <> high")
-        open_ = materialize(labelled.join(pivots.select("bucket", "pivot"), "bucket"))
-        pairs = (
-            open_.where(F.col("component") != F.col("pivot.component"))
-            .select(F.least("key", "pivot.key").alias("src"), F.greatest("key", "pivot.key").alias("dst"))
-            .distinct()
-        )
-        if pairs.isEmpty():
-            return labels if labels is not None else members.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
-        met = pairs.join(sets.select(F.col("key").alias("src"), F.col("grams").alias("x")), "src").join(
-            sets.select(F.col("key").alias("dst"), F.col("grams").alias("y")), "dst"
-        )
-        near = materialize(met.select("src", "dst", "x", "y").mapInArrow(_jaccard_batches(least), "src binary, dst binary"))
-        if not near.isEmpty():
-            links = near if links is None else materialize(links.unionByName(near))
-            labels = materialize(connected_components(links))
-        # The pivot has met everyone of its bucket and leaves it.
-        rest = materialize(open_.where(F.col("key") != F.col("pivot.key")).select("bucket", "key"))
+    """``node, component`` of the paragraphs that are linked; ``members`` is bucket, key, turn."""
+    first = members.groupBy("bucket").agg(F.min(F.struct("turn", "key")).alias("first"))
+    pairs = (
+        members.join(first.select("bucket", F.col("first.key").alias("pivot")), "bucket")
+        .where("key <> pivot")
+        .select(F.least("key", "pivot").alias("src"), F.greatest("key", "pivot").alias("dst"))
+        .distinct()
+    )
+    met = pairs.join(sets.select(F.col("key").alias("src"), F.col("grams").alias("x")), "src").join(
+        sets.select(F.col("key").alias("dst"), F.col("grams").alias("y")), "dst"
+    )
+    near = materialize(met.select("src", "dst", "x", "y").mapInArrow(_jaccard_batches(least), "src binary, dst binary"))
+    labels = connected_components(near)
+    labelled = members.join(labels, members["key"] == labels["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+    chunks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    rest = labelled.join(mixed.where("low <> high").select("bucket", chunks.alias("chunks")), "bucket").join(sets, "key")
+    rest = rest.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    # Each block is met by each other one once.
+    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")).drop("other", "chunks")
+    more = materialize(blocks.groupBy("bucket", "low", "high").applyInArrow(_compare_block(least), "src binary, dst binary"))
+    return connected_components(near.unionByName(more))
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,11 +246,14 @@ def dedup_paragraphs(
     firsts = found.groupBy("key").agg(F.min(F.struct(place.alias("place"), F.col("sig"))).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = materialize(firsts.select("key", "first.place", "first.sig", "n"))
     banded = firsts.select("key", "sig").mapInArrow(_band_batches(bands), "bucket bigint, key binary")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialize(banded.join(shared, "bucket"))
+    shared = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = sendable(shared, BROADCAST_BUCKETS)
+    # Whoever meets most others is compared with them first.
+    turn = -F.sum("n").over(Window.partitionBy("key"))
+    members = materialize(banded.join(shared, "bucket").select("bucket", "key", turn.alias("turn")))
     wanted = members.select("key").distinct().join(firsts, "key").groupBy("place.doc_id", "place.digest").agg(F.collect_list("key").alias("keys"))
     wanted = materialize(wanted.select(F.col("doc_id").alias("wanted_id"), F.col("digest").alias("wanted_digest"), "keys"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
+    few = sendable(wanted, BROADCAST_DOCS)
     same = texts["doc_id"].eqNullSafe(few["wanted_id"]) & (texts["digest"] == few["wanted_digest"])
     sets = texts.join(few, same).select("text", "keys").mapInArrow(_shingle_batches(size), "key binary, grams binary")
     sets = materialize(sets.dropDuplicates(["key"]))

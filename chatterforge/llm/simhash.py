@@ -21,7 +21,7 @@ than 65 different fingerprints, however large the group of copies is.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +64,8 @@ def simhash(data: bytes, size: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     digest, counts, n = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), len(words) - size + 1
     for start in range(0, n, BLOCK):
         part = words[start : min(start + BLOCK, n) + size - 1]
-        hashes = np.array([digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(size))))], "<u8")
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(size))))
+        hashes = np.array(list(map(digest, shingles, repeat(seed))), "<u8")
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return sum(1 << i for i in np.flatnonzero(counts * 2 > n).tolist())
 

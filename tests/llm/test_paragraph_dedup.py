@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from chatterforge.llm import paragraph_dedup as P
 
@@ -60,6 +61,14 @@ def test_brute_force_on_documents(spark):
         assert r["kept_sha256"] == sha(kept) and r["n_removed"] == len(dropped)
 
 
+def test_tables_too_large_to_broadcast(spark, sf_dir, monkeypatch):
+    docs = documents(spark, sf_dir)
+    usual = {r["doc_id"]: r["removed"] for r in P.dedup_paragraphs(docs).collect()}
+    monkeypatch.setattr(P, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(P, "BROADCAST_BUCKETS", 0)
+    assert {r["doc_id"]: r["removed"] for r in P.dedup_paragraphs(docs).collect()} == usual
+
+
 def test_bands_meet_nearly_all_pairs_at_the_threshold():
     rng = np.random.default_rng(1)
     met = 0
@@ -70,18 +79,18 @@ def test_bands_meet_nearly_all_pairs_at_the_threshold():
     assert met / 400 > 0.97
 
 
-def test_one_large_group_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("edits", [2, 5])
+def test_one_large_group_of_near_copies(spark, monkeypatch, edits):
+    """With five edits, most copies are alike, but below the threshold."""
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     rows = []
     for i in range(150):
         w = list(base)
-        for _ in range(rng.randint(0, 2)):
+        for _ in range(rng.randint(0, edits)):
             w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
         rows.append((i, " ".join(w)))
-    compared = []
-    links = P.near_links
-    monkeypatch.setattr(P, "near_links", lambda m, s, t: links(m, s, t) if not compared.append(m.count()) else None)
+    monkeypatch.setattr(P, "BLOCK_MEMBERS", 40)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     gone, _ = model(dict(rows))
     assert {r["doc_id"]: r["removed"] for r in P.dedup_paragraphs(docs).collect()} == spelled(gone)

@@ -95,6 +95,25 @@ def test_components_of_chains_loops_and_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(8)
+    for size in (5, 40, 120):
+        pairs = [(rng.randrange(size), rng.randrange(size)) for _ in range(size)]
+        pairs += [(1000, 1002), (1001, 1002)]
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "src bigint, dst bigint")).collect()}
+        assert found == {x: find(x) for p in pairs for x in p}
+
+
 def test_awkward_rows(spark):
     rows = S.near_duplicates(awkward(spark, AWKWARD)).collect()
     assert len(rows) == len(AWKWARD)
