@@ -8,7 +8,7 @@ Jaccard similarity of their sets of ``SHINGLE``-word shingles is ``SIMILARITY``
 by their 128-bit digest.
 
 *Banding.*  ``BANDS`` bands of ``ROWS`` minima each: a pair at similarity s meets in
-1 - (1 - s**ROWS)**BANDS of cases, 0.992 at 0.8 and over 0.9999 at 0.9.
+1 - (1 - s**ROWS)**BANDS of cases, 0.9996 at 0.8 and more above.
 
 *Verification.*  In each band's bucket one paragraph is the pivot and is compared with the others;
 pairs that hold become links, and components are taken.  The pivot is the one that meets most
@@ -38,7 +38,7 @@ from chatterforge.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 6
+BANDS, ROWS = 20, 5
 SEED = 7
 BLOCK_MEMBERS = 1000
 #: Documents whose list is broadcast to fetch their paragraphs, and buckets (16 bytes each) that are broadcast
