@@ -10,10 +10,12 @@ of the leaf's forms have it at that place, else it becomes ``<*>`` too.  A templ
 counts when at least ``MIN_TOKENS`` of its tokens, and half of them, are fixed.
 
 *Dropping.*  A template found in at least ``MIN_DOCS`` documents is dropped wherever
-it occurs but for its first occurrence (smallest id, then line).  A document
-that shares two or more lines, or all it has, with one earlier document, and
-with them at least half of its words, is a copy of that document rather than a
-text with boilerplate in it; it is left whole for the near-duplicate stage.
+it occurs but for its first occurrence (smallest id, then line).  ``copies`` says
+what else keeps a template: with ``NONE`` nothing does; with ``EXACT`` a document
+whose whole text is that of the first holder keeps the lines that the first holder
+keeps, and no others, so that equal texts stay equal; with ``MOST`` a document that
+shares two or more lines, or all it has, with one earlier document, and with them at
+least half of its words, drops nothing at all, whatever else it holds.
 
 Only hashes, ids and line numbers are shuffled for the counts.  The counts are
 summed before they move, so a line that a third of all documents have is one
@@ -33,6 +35,7 @@ MIN_DOCS = 3
 MIN_TOKENS = 3
 FIELD = "[^ ]*[0-9][^ ]*"
 WILD = "<*>"
+NONE, EXACT, MOST = "none", "exact", "most"
 #: Forms of a leaf that are looked at together in one row.
 FEW_FORMS = 8
 #: Rows of a table (at most about 100 bytes each) that is broadcast; a larger one is shuffled.
@@ -103,7 +106,7 @@ def leaf_templates(lines: DataFrame, leaves: DataFrame, min_tokens: int) -> Data
 
 
 def repeated_lines(
-    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, copies: str = MOST
 ) -> DataFrame:
     """``doc_id, digest, origin, lines, words``: lines to drop, by the document that has them first."""
     lines = materialize(parsed(docs, depth))
@@ -120,7 +123,9 @@ def repeated_lines(
     held = found.groupBy("leaf", "key", "doc_id", "digest").agg(F.min("line_no").alias("line_no"))
     kept = held.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "digest", "line_no")).alias("first"))
     kept = sendable(materialize(kept.where(F.col("n_docs") >= min_docs).select("leaf", "key", "first")), BROADCAST_ROWS)
-    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")) & (F.col("line_no") == F.col("first.line_no"))
+    first = (F.col("digest") == F.col("first.digest")) & (F.col("line_no") == F.col("first.line_no"))
+    if copies != EXACT:
+        first = first & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     return (
         found.join(kept, ["leaf", "key"])
         .where(~first)
@@ -136,6 +141,7 @@ def dedup_lines(
     depth: int = DEPTH,
     min_docs: int = MIN_DOCS,
     min_tokens: int = MIN_TOKENS,
+    copies: str = MOST,
 ) -> DataFrame:
     """``docs`` with the kept text in ``text_col`` and the dropped line numbers in ``dropped_lines``.
 
@@ -146,7 +152,9 @@ def dedup_lines(
     other columns are returned as they are, unless one is named
     ``dropped_lines``, which is replaced.  An empty table gives an empty result.
     """
-    found = repeated_lines(id_text(docs, id_col, text_col), depth, min_docs, min_tokens)
+    if copies not in (NONE, EXACT, MOST):
+        raise ValueError(f"copies must be {NONE}, {EXACT} or {MOST}")
+    found = repeated_lines(id_text(docs, id_col, text_col), depth, min_docs, min_tokens, copies)
     # Names that no column of the table has.
     spare = "_" * (1 + max(len(c) for c in docs.columns))
     id_name, digest_name, found_name = (spare + n for n in ("id", "digest", "found"))
@@ -162,9 +170,10 @@ def dedup_lines(
     all_lines = F.split(text, "\n")
     filled = F.size(F.filter(all_lines, lambda x: F.trim(x) != ""))
     n_words = F.aggregate(all_lines, F.lit(0), lambda total, x: total + F.when(F.trim(x) != "", token_count(F.trim(x))).otherwise(0))
-    copies = lambda g: (g["words"] * 2 >= n_words) & ((F.size(g["lines"]) >= 2) | (F.size(g["lines"]) >= filled))
+    is_copy = lambda g: (g["words"] * 2 >= n_words) & ((F.size(g["lines"]) >= 2) | (F.size(g["lines"]) >= filled))
+    open_to_it = F.col(found_name).isNotNull()
     dropped = F.when(
-        F.col(found_name).isNotNull() & ~F.exists(found_name, copies),
+        open_to_it & ~F.exists(found_name, is_copy) if copies == MOST else open_to_it,
         F.array_sort(F.flatten(F.transform(found_name, lambda g: g["lines"]))),
     ).otherwise(F.array().cast("array<int>"))
     kept = F.when(

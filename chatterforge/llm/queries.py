@@ -72,9 +72,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chatterforge.llm.line_templates import dedup_lines
+    from chatterforge.llm.line_templates import NONE, dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents")).select(
+    return dedup_lines(table(spark, sf_dir, "documents"), copies=NONE).select(
         "doc_id",
         F.size("dropped_lines").cast("bigint").alias("n_dropped"),
         F.array_join(F.transform("dropped_lines", lambda i: i.cast("string")), ",").alias("dropped_lines"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chatterforge.llm.byte_bpe import encode
 from chatterforge.llm.common import shared_checkpoints, table
 from chatterforge.llm.decontaminate import drop_contaminated
-from chatterforge.llm.line_templates import dedup_lines
+from chatterforge.llm.line_templates import EXACT, dedup_lines
 from chatterforge.llm.quality_qda import keep_quality
 from chatterforge.llm.simhash import keep_one
 
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs across documents go, but for their first occurrence."""
-    kept = dedup_lines(docs).drop("dropped_lines")
+    """Lines whose template recurs across documents go, but for their first occurrence; equal texts stay equal."""
+    kept = dedup_lines(docs, copies=EXACT).drop("dropped_lines")
     return kept.select(*docs.columns)
 
 

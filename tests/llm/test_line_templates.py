@@ -116,3 +116,24 @@ def test_digest_of_what_is_kept(spark, sf_dir):
         gone = {int(x) for x in r["dropped_lines"].split(",") if x}
         kept = "\n".join(x for i, x in enumerate(by_id[r["doc_id"]].split("\n")) if i not in gone)
         assert r["kept_sha256"] == sha(kept) and r["n_dropped"] == len(gone)
+
+
+def test_every_document_drops_templates_and_exact_copies_stay_equal(spark):
+    head, foot = "the header that all of them carry", "the footer that all of them carry"
+    rows = [(i, f"{head}\n{'abcdefgh'[i] * 3} own\n{foot}") for i in range(5)]
+    rows += [(10 + i, head) for i in range(3)] + [(20, rows[0][1]), (21, rows[1][1])]
+    docs = spark.createDataFrame([*rows, rows[2]], "doc_id bigint, text string")
+    assert result(L.dedup_lines(docs))[2] == []
+    whole = {0: [], **{i: [0, 2] for i in (1, 2, 3, 4, 20, 21)}, 10: [0], 11: [0], 12: [0]}
+    assert result(L.dedup_lines(docs, copies=L.NONE)) == whole
+    # Document 20 is the text of the first holder, 21 that of a document that drops both lines.
+    assert result(L.dedup_lines(docs, copies=L.EXACT)) == {**whole, 20: []}
+
+
+def test_the_query_spares_no_document(spark, tmp_path):
+    from chatterforge.llm.queries import QUERIES
+
+    rows = [(i, f"one line that is the whole of every text\n{'abc'[i]}") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op9_line_templates"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["dropped_lines"] for r in found} == {0: "", 1: "0", 2: "0"}
