@@ -40,7 +40,9 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from chatterforge.llm.byte_bpe import encode
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), offsets=False)
+    found = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    # The digest of the ids is taken from the column itself.
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,8 +35,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with digests of the ids and of the decoded bytes."""
-    return encode(docs, public_tokenizers.path("byte_bpe_50k.json"), offsets=False)
+    """Token ids and offsets of what is left, with digests of the ids and of the decoded bytes."""
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

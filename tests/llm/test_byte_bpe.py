@@ -67,3 +67,16 @@ def test_round_trip_and_cut_sequences(spark):
     cut = spark.createDataFrame([(1, np.array(ids[:1], "<u4").tobytes()), (2, None)], "doc_id bigint, ids binary")
     assert {r["doc_id"]: r["text"] for r in B.decode(cut, PATH).collect()} == {1: "�", 2: ""}
     assert B.encode(awkward(spark, []), PATH).count() == 0
+
+
+def test_the_query_works_out_tokens_and_places(spark, sf_dir, model, monkeypatch):
+    from chatterforge.llm.queries import QUERIES
+
+    asked = []
+    whole = B.encode
+    monkeypatch.setattr(B, "encode", lambda *a, **k: asked.append(whole(*a, **k)) or asked[-1])
+    df = QUERIES["op4_byte_bpe"](spark, sf_dir)
+    assert {"ids", "starts", "ends"} <= set(asked[0].columns)
+    by_id = texts(spark, sf_dir)
+    expected = {i: sha(np.array(model.encode_ordinary(t), "<u4").tobytes()) for i, t in by_id.items()}
+    assert {r["doc_id"]: r["ids_sha256"] for r in df.collect()} == expected

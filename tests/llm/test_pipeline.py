@@ -73,3 +73,20 @@ def test_empty_table(spark, sf_dir):
     docs = awkward(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in C.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_last_stage_has_the_tokens_and_their_places(stages, model):
+    import numpy as np
+
+    before = by_id(stages[4])
+    rows = stages[5].collect()
+    assert {r["doc_id"] for r in rows} == set(before) and before
+    for r in rows:
+        text, parts = before[r["doc_id"]], model.decode_tokens_bytes(model.encode_ordinary(before[r["doc_id"]]))
+        ids, starts, ends = (np.frombuffer(r[c], "<u4").tolist() for c in ("ids", "starts", "ends"))
+        assert ids == model.encode_ordinary(text) and len(starts) == len(ends) == len(ids)
+        at = np.cumsum([0, *map(len, parts)]).tolist()
+        # The byte place of each character's end.
+        ended = np.cumsum([len(c.encode()) for c in text])
+        assert starts == np.searchsorted(ended, at[:-1], "right").tolist()
+        assert ends == (np.searchsorted(ended, at[1:], "left") + 1).tolist()
