@@ -52,16 +52,14 @@ SELECT doc_id, len(w) AS n_words, len(s) AS n_base, list_min(s) - 1 AS first_wor
   CASE WHEN len(list_filter(o, lambda x: x IS NOT NULL)) > 0 THEN 1.0::DOUBLE WHEN len(s) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM found"""
 
 
-def bm25(k: int = 10, terms: int = 10, every: int = 20, k1: float = 1.2, b: float = 0.75) -> str:
+def bm25(k: int = 10, every: int = 20, k1: float = 1.2, b: float = 0.75) -> str:
     return f"""
 WITH docs AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
 corpus AS (SELECT count(*)::DOUBLE AS n, sum(len(w))::DOUBLE / count(*) AS mean FROM docs),
 tf AS (SELECT doc_id, term, count(*) AS tf, any_value(size) AS size FROM (SELECT doc_id, unnest(w) AS term, len(w) AS size FROM docs) GROUP BY doc_id, term),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) > 1),
-idf AS (SELECT term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM df, corpus),
+idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, corpus GROUP BY term),
 parts AS (SELECT doc_id, term, tf * {k1 + 1}::DOUBLE / (tf + {k1}::DOUBLE * ({1 - b}::DOUBLE + {b}::DOUBLE * size / mean)) AS part FROM tf, corpus),
-asked AS (SELECT doc_id AS query_id, term, idf FROM parts JOIN idf USING (term) WHERE doc_id % {every} = 0
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf * part DESC, term) <= {terms}),
+asked AS (SELECT doc_id AS query_id, term, idf FROM tf JOIN idf USING (term) WHERE doc_id % {every} = 0),
 scored AS (SELECT query_id, doc_id, list_sum(list(idf * part ORDER BY term)) AS score FROM asked JOIN parts USING (term) GROUP BY query_id, doc_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM scored
 QUALIFY rank <= {k}"""
