@@ -8,7 +8,8 @@ Jaccard similarity of their sets of ``SHINGLE``-word shingles is ``SIMILARITY``
 by their 128-bit digest.
 
 *Banding.*  ``BANDS`` bands of ``ROWS`` minima each: a pair at similarity s meets in
-1 - (1 - s**ROWS)**BANDS of cases, 0.9996 at 0.8 and more above.
+1 - (1 - s**ROWS)**BANDS of cases, 0.9996 at 0.8 and more above.  A band's value has 48 bits: what meets by
+chance is compared like anything else, so short values cost comparisons and never a wrong result.
 
 *Verification.*  In each band's bucket one paragraph is the pivot and is compared with the others;
 pairs that hold become links, and components are taken.  The pivot is the one that meets most
@@ -38,7 +39,9 @@ from chatterforge.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 15, 4
+#: Bytes of a band's value.
+VALUE = 6
 SEED = 7
 BLOCK_MEMBERS = 1000
 #: Documents whose list is broadcast to fetch their paragraphs, and buckets (16 bytes each) that are broadcast
@@ -64,18 +67,19 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_hashes(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One 64-bit value for each band; equal minima give equal values."""
+    """One value for each band, with the band's number above it; equal minima give equal values."""
     factor, shift = _permutations(bands * rows)
     least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
     for start in range(0, len(hashes), BLOCK):
         part = hashes[start : start + BLOCK]
         least = np.minimum(least, (part[:, None] * factor + shift).min(0))
     least = (least ^ (least >> np.uint64(32))).reshape(bands, rows)
-    mixed = np.arange(bands, dtype=np.uint64)
+    mixed = np.zeros(bands, np.uint64)
     for r in range(rows):
         mixed = (mixed ^ least[:, r]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    return mixed.view(np.int64).tolist()
+    bits = np.uint64(8 * VALUE)
+    return (mixed >> (np.uint64(64) - bits) | np.arange(bands, dtype=np.uint64) << bits).view(np.int64).tolist()
 
 
 def paragraphs(text: bytes, size: int) -> Iterator[tuple[int, bytes, list[bytes]]]:
@@ -86,6 +90,11 @@ def paragraphs(text: bytes, size: int) -> Iterator[tuple[int, bytes, list[bytes]
             yield number, hashlib.blake2b(b" ".join(words), digest_size=16).digest(), words
 
 
+def pack(values: list[int]) -> bytes:
+    """Band values without their numbers."""
+    return np.array(values, "<i8").view(np.uint8).reshape(-1, 8)[:, :VALUE].tobytes()
+
+
 def _paragraph_batches(size: int, bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +103,8 @@ def _paragraph_batches(size: int, bands: int, rows: int) -> Callable:
             for doc, digest, text in zip(batch["doc_id"].to_pylist(), batch["digest"].to_pylist(), utf8(batch["text"])):
                 for number, key, words in paragraphs(text, size):
                     if key not in known:
-                        known[key] = np.array(band_hashes(shingles(words, size), bands, rows), "<i8").tobytes()
+                        grams = shingles(words, size)
+                        known[key] = np.uint32(len(grams)).tobytes() + pack(band_hashes(grams, bands, rows))
                     for column, value in zip(columns, (doc, digest, number, key, known[key])):
                         column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
@@ -104,14 +114,20 @@ def _paragraph_batches(size: int, bands: int, rows: int) -> Callable:
 
 
 def _band_batches(bands: int) -> Callable:
-    """One row per band of each distinct paragraph."""
+    """One row per band of each distinct paragraph, with the number of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            values = np.frombuffer(b"".join(batch["sig"].to_pylist()), "<i8")
+            signed = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(n, 4 + bands * VALUE)
+            sizes = np.ascontiguousarray(signed[:, :4]).view("<u4").ravel().astype(np.int32)
+            values = np.zeros((n * bands, 8), np.uint8)
+            values[:, :VALUE] = signed[:, 4:].reshape(n * bands, VALUE)
+            values[:, VALUE:] = np.tile(np.arange(bands, dtype="<u2"), n).view(np.uint8).reshape(-1, 2)
             places = np.repeat(np.arange(n), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(values), batch["key"].take(pa.array(places))], ["bucket", "key"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values.view("<i8").ravel()), batch["key"].take(pa.array(places)), pa.array(sizes[places])], ["bucket", "key", "size"]
+            )
 
     return run
 
@@ -183,11 +199,13 @@ def _compare_block(least: float) -> Callable:
 
 
 def near_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``node, component`` of the paragraphs that are linked; ``members`` is bucket, key, turn."""
-    first = members.groupBy("bucket").agg(F.min(F.struct("turn", "key")).alias("first"))
+    """``node, component`` of the paragraphs that are linked; ``members`` is bucket, key, size, turn."""
+    first = members.groupBy("bucket").agg(F.min(F.struct("turn", "key", "size")).alias("first"))
+    # Sets whose sizes are too unlike cannot be similar, and are not fetched for each other.
+    alike = F.least("size", "pivot_size") >= least * F.greatest("size", "pivot_size")
     pairs = (
-        members.join(first.select("bucket", F.col("first.key").alias("pivot")), "bucket")
-        .where("key <> pivot")
+        members.join(first.select("bucket", F.col("first.key").alias("pivot"), F.col("first.size").alias("pivot_size")), "bucket")
+        .where((F.col("key") != F.col("pivot")) & alike)
         .select(F.least("key", "pivot").alias("src"), F.greatest("key", "pivot").alias("dst"))
         .distinct()
     )
@@ -245,12 +263,12 @@ def dedup_paragraphs(
     # One row per distinct paragraph and task moves; the signature goes with the first of them.
     firsts = found.groupBy("key").agg(F.min(F.struct(place.alias("place"), F.col("sig"))).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = materialize(firsts.select("key", "first.place", "first.sig", "n"))
-    banded = firsts.select("key", "sig").mapInArrow(_band_batches(bands), "bucket bigint, key binary")
+    banded = firsts.select("key", "sig").mapInArrow(_band_batches(bands), "bucket bigint, key binary, size int")
     shared = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = sendable(shared, BROADCAST_BUCKETS)
     # Whoever meets most others is compared with them first.
     turn = -F.sum("n").over(Window.partitionBy("key"))
-    members = materialize(banded.join(shared, "bucket").select("bucket", "key", turn.alias("turn")))
+    members = materialize(banded.join(shared, "bucket").select("bucket", "key", "size", turn.alias("turn")))
     wanted = members.select("key").distinct().join(firsts, "key").groupBy("place.doc_id", "place.digest").agg(F.collect_list("key").alias("keys"))
     wanted = materialize(wanted.select(F.col("doc_id").alias("wanted_id"), F.col("digest").alias("wanted_digest"), "keys"))
     few = sendable(wanted, BROADCAST_DOCS)
