@@ -15,7 +15,7 @@ from chatterforge.operators.splits import SPLITS, drop_duplicate_samples, split_
 from chatterforge.operators.turns import TARGET, aggregate_turns, sessionize
 from chatterforge.operators.validation import known_participants, require_valid
 from chatterforge.operators.windows import SESSION, build_windows, usable_sessions
-from chatterforge.runtime import materialize
+from chatterforge.runtime import materialize, number_rows
 from chatterforge.sources.datasets import file_info, kind_of, read_predictions, read_sharegpt, sharegpt_problems, write_json_atomic, write_sharegpt
 from chatterforge.sources.exports import read_export, read_parsed
 
@@ -33,6 +33,8 @@ class FormatConfig:
     speaker_labels: str = "none"
     merge_unknown_timestamps: bool = False
     drop_duplicate_samples: bool = True
+    #: Order the table over range partitions, for transcripts too large for one task each.
+    spread: bool = True
     filters: FilterConfig = field(default_factory=FilterConfig)
 
     def __post_init__(self) -> None:
@@ -59,8 +61,8 @@ def parse_export(spark: SparkSession, path: str, self_ref: str | None = None, ta
 
 def session_turns(messages: DataFrame, config: FormatConfig) -> DataFrame:
     """Turns with sessions from messages that the filters kept."""
-    turns = aggregate_turns(messages, config.turn_gap_seconds, config.merge_unknown_timestamps)
-    return sessionize(turns, config.session_gap_seconds)
+    turns = aggregate_turns(messages, config.turn_gap_seconds, config.merge_unknown_timestamps, config.spread)
+    return sessionize(turns, config.session_gap_seconds, config.spread)
 
 
 def split_samples(turns: DataFrame, config: FormatConfig) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +113,8 @@ def format_dataset(messages: DataFrame, prefix: str, config: FormatConfig = Form
 
 
 def _row(df: DataFrame) -> dict:
-    found = df.limit(1).collect()
+    """The one row of a table that has at most one."""
+    found = df.collect()
     return {k: v for k, v in found[0].asDict().items() if k not in ("transcript_id", "all")} if found else {}
 
 
@@ -128,10 +131,26 @@ def _text_report(texts: DataFrame) -> dict:
     }
 
 
+def inspect_transcripts(messages: DataFrame, window_size: int = 6, turn_gap_seconds: int = 300, session_gap_seconds: int = 1800) -> DataFrame:
+    """One row per transcript: messages by speaker, turns, sessions, target texts, markers, repeats and times."""
+    turns = aggregate_turns(known_participants(messages), turn_gap_seconds, spread=True)
+    turns = materialize(sessionize(turns, session_gap_seconds, spread=True))
+    said = turns.where(F.col("participant") == TARGET).select("transcript_id", F.col("content").alias("text"))
+    key = ["transcript_id"]
+    parts = [profiling.session_counts(turns, window_size), *[f(said, key) for f in (profiling.length_stats, profiling.content_markers, profiling.duplicate_counts)]]
+    found = profiling.message_counts(messages)
+    for part in parts:
+        found = found.join(part, key, "left")
+    return found
+
+
 def inspect_parsed(messages: DataFrame, window_size: int = 6, turn_gap_seconds: int = 300, session_gap_seconds: int = 1800) -> dict:
-    """Summary of one parsed transcript."""
+    """Summary of one parsed transcript; :func:`inspect_transcripts` has those of many."""
+    several = messages.select("transcript_id").distinct().limit(2).count()
+    if several > 1:
+        raise ValueError("more than one transcript; use inspect_transcripts for a row of each")
     counts = _row(profiling.message_counts(messages))
-    turns = materialize(sessionize(aggregate_turns(known_participants(messages), turn_gap_seconds), session_gap_seconds))
+    turns = materialize(sessionize(aggregate_turns(known_participants(messages), turn_gap_seconds, spread=True), session_gap_seconds, spread=True))
     sessions = _row(profiling.session_counts(turns, window_size))
     iso = lambda t: None if t is None else t.isoformat()
     return {
@@ -173,8 +192,7 @@ def inspect_path(spark: SparkSession, path: str, **gaps: int) -> dict:
 
 def audit_dataset(spark: SparkSession, path: str, long_chars: int = audit.LONG_RESPONSE_CHARS, repeated: int = audit.REPEATED_AT_LEAST, most: int = 10) -> dict:
     """Counts of a privacy audit and the places of the first serious findings; values are redacted."""
-    order = F.row_number().over(_by_line())
-    samples = materialize(read_sharegpt(spark, path, strict=False).withColumn("sample_no", order))
+    samples = _in_order(read_sharegpt(spark, path, strict=False), "sample_no")
     found = materialize(audit.findings(audit.sample_texts(samples)))
     rules = audit.rule_counts(found).collect()
     serious = found.where(F.col("severity").isin("high", "medium")).orderBy("sample_no", "turn_no", "finding_no").limit(most)
@@ -187,22 +205,20 @@ def audit_dataset(spark: SparkSession, path: str, long_chars: int = audit.LONG_R
     }
 
 
-def _by_line():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("file").orderBy("line_no")
+def _in_order(lines: DataFrame, name: str) -> DataFrame:
+    """``lines`` with numbers from 1 over all files, by file and line."""
+    return number_rows(lines, ["file", "line_no"], name).withColumn(name, F.col(name) + 1)
 
 
 def evaluate_predictions(spark: SparkSession, dataset: str, predictions: dict[str, str], limit: int | None = None) -> dict:
-    """Score prediction files against the last answers of a dataset."""
+    """Score prediction files against the last answers of a dataset; both may be folders of part files."""
     samples = read_sharegpt(spark, dataset)
-    ordinal = F.row_number().over(_by_line())
-    references = samples.select("file", "line_no", F.element_at("conversations", -1)["value"].alias("text")).withColumn("ordinal", ordinal)
+    references = _in_order(samples.select("file", "line_no", F.element_at("conversations", -1)["value"].alias("text")), "ordinal")
     if limit:
         references = references.where(F.col("ordinal") <= limit)
     references = materialize(references.select("ordinal", "text"))
     texts = references.select(F.lit("reference").alias("corpus"), F.col("ordinal").alias("resp_id"), "text")
     for name, path in predictions.items():
-        mine = read_predictions(spark, path).withColumn("file", F.lit(name)).withColumn("ordinal", ordinal).select("ordinal", "text")
+        mine = _in_order(read_predictions(spark, path), "ordinal").select("ordinal", "text")
         texts = texts.unionByName(style.pair_predictions(references, mine, name).where(F.col("corpus") != "reference"))
     return style.evaluate(texts, "reference")

@@ -7,7 +7,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatterforge.functions import text as T
@@ -15,13 +15,27 @@ from chatterforge.operators.sharegpt import CONVERSATION, describe_problem
 from chatterforge.sources.exports import BOM
 
 MOST_PROBLEMS = 20
+#: Bytes of a file that is hashed as a whole.
+MOST_HASHED = 1 << 30
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, value``; files are cut into lines where they are read, so a number is the place in its file."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", BOM, "").alias("body"))
-    lines = files.select("file", F.posexplode(F.split("body", "\r\n|\n|\r")).alias("line_no", "value"))
-    return lines.withColumn("line_no", (F.col("line_no") + 1).cast("bigint"))
+    """``file, line_no, value`` of every line; files are split, so a file may be of any size.
+
+    Spark reads a stretch of a file in order in one task.  A line's number is its place in its
+    stretch and the number of lines in the stretches before, of which there is one count each.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.regexp_replace("value", BOM, "").alias("value"),
+    )
+    stretches = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stretches.select("file", "block", "first", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    placed = lines.join(offsets, ["file", "block"])
+    return placed.select("file", (F.col("above") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -64,14 +78,18 @@ def sharegpt_problems(spark: SparkSession, path: str, most: int = MOST_PROBLEMS)
 
 
 def file_info(spark: SparkSession, path: str) -> DataFrame:
-    """``file, sha256, samples, invalid_rows`` of each file."""
-    digests = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
-    counts = parse_lines(_numbered_lines(spark, path)).groupBy(F.regexp_extract("file", "[^/]*$", 0).alias("name")).agg(
+    """``file, sha256, samples, invalid_rows`` of each file.
+
+    The digest is that of the file's bytes, which have to be one value for it: null for files above ``MOST_HASHED``.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    names = files.select(F.col("_metadata.file_path").alias("file"), F.col("length"))
+    digests = files.where(F.col("length") <= MOST_HASHED).select(F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("sha256"))
+    counts = parse_lines(_numbered_lines(spark, path)).groupBy("file").agg(
         F.count_if(F.col("problem").isNull()).alias("samples"), F.count_if(F.col("problem").isNotNull()).alias("invalid_rows")
     )
-    named = digests.withColumn("name", F.regexp_extract("file", "[^/]*$", 0))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return named.join(counts, "name", "left").select("file", "sha256", zero("samples"), zero("invalid_rows"))
+    return names.join(digests, "file", "left").join(counts, "file", "left").select("file", "sha256", zero("samples"), zero("invalid_rows"))
 
 
 def write_sharegpt(samples: DataFrame, path: str) -> None:
@@ -80,14 +98,14 @@ def write_sharegpt(samples: DataFrame, path: str) -> None:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, text``: one response per line, a string or an object with response or value."""
+    """``file, line_no, text``: one response per line, a string or an object with response or value."""
     lines = _numbered_lines(spark, path).where(T.strip("value") != "")
     tree = F.try_parse_json("value")
     inner = F.coalesce(F.try_variant_get(tree, "$.response", "variant"), F.try_variant_get(tree, "$.value", "variant"))
     said = F.when(F.schema_of_variant(tree) == "STRING", tree).otherwise(inner)
     text = F.when(F.schema_of_variant(said) == "STRING", F.try_variant_get(said, "$", "string"))
-    found = lines.select("line_no", text.alias("text"))
-    bad = found.where("text is null").orderBy("line_no").limit(1).collect()
+    found = lines.select("file", "line_no", text.alias("text"))
+    bad = found.where("text is null").orderBy("file", "line_no").limit(1).collect()
     if bad:
         raise ValueError(f"line {bad[0]['line_no']}: expected a string or an object with response or value")
     if found.isEmpty():

@@ -38,7 +38,9 @@ def _elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def _messages(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     found = _elements(spark, path).where(F.ltrim("json").startswith("{")).withColumn("m", F.from_json("json", schema))
-    return found.select("transcript_id", F.col("pos").cast("bigint").alias("pos"), "m.*", "export_channel_id", "channel_name")
+    # As written: a list, or what should have been one; null where there is none.
+    written = F.get_json_object("json", "$.attachments").alias("attachments_json")
+    return found.select("transcript_id", F.col("pos").cast("bigint").alias("pos"), "m.*", written, "export_channel_id", "channel_name")
 
 
 def read_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -48,7 +50,7 @@ def read_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_parsed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Messages of parsed transcripts in their order."""
-    return _messages(spark, path, PARSED_MESSAGE).drop("export_channel_id", "channel_name")
+    return _messages(spark, path, PARSED_MESSAGE).drop("attachments_json", "export_channel_id", "channel_name")
 
 
 def write_parsed(messages: DataFrame, path: str) -> None:
