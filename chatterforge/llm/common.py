@@ -36,9 +36,16 @@ def utf8(column) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
-def sendable(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a materialised table of at most so many rows, else leave the join to shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Bytes, as JSON, of a table that is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def sendable(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """Broadcast a materialised table of at most so many rows and bytes, else leave the join to shuffles."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    found = df.agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).first()
+    fits = found["n"] <= rows and (found["bytes"] or 0) <= (BROADCAST_BYTES if most is None else most)
+    return F.broadcast(df) if fits else df
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

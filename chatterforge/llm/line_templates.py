@@ -13,9 +13,7 @@ counts when at least ``MIN_TOKENS`` of its tokens, and half of them, are fixed.
 it occurs but for its first occurrence (smallest id, then line).  ``copies`` says
 what else keeps a template: with ``NONE`` nothing does; with ``EXACT`` a document
 whose whole text is that of the first holder keeps the lines that the first holder
-keeps, and no others, so that equal texts stay equal; with ``MOST`` a document that
-shares two or more lines, or all it has, with one earlier document, and with them at
-least half of its words, drops nothing at all, whatever else it holds.
+keeps, and no others, so that equal texts stay equal.
 
 Only hashes, ids and line numbers are shuffled for the counts.  The counts are
 summed before they move, so a line that a third of all documents have is one
@@ -35,10 +33,10 @@ MIN_DOCS = 3
 MIN_TOKENS = 3
 FIELD = "[^ ]*[0-9][^ ]*"
 WILD = "<*>"
-NONE, EXACT, MOST = "none", "exact", "most"
+NONE, EXACT = "none", "exact"
 #: Forms of a leaf that are looked at together in one row.
 FEW_FORMS = 8
-#: Rows of a table (at most about 100 bytes each) that is broadcast; a larger one is shuffled.
+#: Rows of a table that is broadcast, if it has few enough bytes too; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -63,7 +61,7 @@ def counts(n: Column, n_fixed: Column, min_tokens: int) -> Column:
 
 def parsed(docs: DataFrame, depth: int, *more: Column) -> DataFrame:
     """One row per line that is not blank: its document, place, size, leaf and form."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     masked = lines.select("doc_id", "digest", "line_no", masked_line(F.col("line")).alias("masked")).where("masked <> ''")
     n = token_count(F.col("masked"))
     return masked.select(
@@ -106,9 +104,9 @@ def leaf_templates(lines: DataFrame, leaves: DataFrame, min_tokens: int) -> Data
 
 
 def repeated_lines(
-    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, copies: str = MOST
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, copies: str = NONE
 ) -> DataFrame:
-    """``doc_id, digest, origin, lines, words``: lines to drop, by the document that has them first."""
+    """``doc_id, digest, lines``: the lines to drop."""
     lines = materialize(parsed(docs, depth))
     forms = materialize(lines.groupBy("leaf", "form", "n", "n_fixed").agg(F.count(F.lit(1)).alias("rows")))
     leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_forms"), F.sum("rows").alias("rows"))
@@ -119,7 +117,7 @@ def repeated_lines(
     often = named.groupBy("leaf", "key").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= min_docs)
     keys = materialize(named.join(often.select("leaf", "key"), ["leaf", "key"]).select("leaf", "form", "key"))
     # Only lines of templates with rows enough are left; documents are counted among these.
-    found = materialize(lines.join(sendable(keys, BROADCAST_ROWS), ["leaf", "form"]).select("leaf", "key", "doc_id", "digest", "line_no", "n"))
+    found = materialize(lines.join(sendable(keys, BROADCAST_ROWS), ["leaf", "form"]).select("leaf", "key", "doc_id", "digest", "line_no"))
     held = found.groupBy("leaf", "key", "doc_id", "digest").agg(F.min("line_no").alias("line_no"))
     kept = held.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "digest", "line_no")).alias("first"))
     kept = sendable(materialize(kept.where(F.col("n_docs") >= min_docs).select("leaf", "key", "first")), BROADCAST_ROWS)
@@ -129,8 +127,8 @@ def repeated_lines(
     return (
         found.join(kept, ["leaf", "key"])
         .where(~first)
-        .groupBy("doc_id", "digest", F.col("first.doc_id").alias("origin"))
-        .agg(F.collect_set("line_no").alias("lines"), F.sum("n").alias("words"))
+        .groupBy("doc_id", "digest")
+        .agg(F.collect_set("line_no").alias("lines"))
     )
 
 
@@ -141,41 +139,33 @@ def dedup_lines(
     depth: int = DEPTH,
     min_docs: int = MIN_DOCS,
     min_tokens: int = MIN_TOKENS,
-    copies: str = MOST,
+    copies: str = NONE,
 ) -> DataFrame:
     """``docs`` with the kept text in ``text_col`` and the dropped line numbers in ``dropped_lines``.
 
     Lines end at ``\\n`` and are numbered from 0.  Blank lines are never dropped.
     A null text stays null and drops nothing; an empty one stays empty.  Rows
     that repeat one id with different texts are different documents; equal rows
-    are treated alike and count once.  A null id sorts before all others.  All
+    are treated alike and count once.  A null id sorts before all others.  A very long text or line is
+    looked at whole.  All
     other columns are returned as they are, unless one is named
     ``dropped_lines``, which is replaced.  An empty table gives an empty result.
     """
-    if copies not in (NONE, EXACT, MOST):
-        raise ValueError(f"copies must be {NONE}, {EXACT} or {MOST}")
+    if copies not in (NONE, EXACT):
+        raise ValueError(f"copies must be {NONE} or {EXACT}")
     found = repeated_lines(id_text(docs, id_col, text_col), depth, min_docs, min_tokens, copies)
     # Names that no column of the table has.
     spare = "_" * (1 + max(len(c) for c in docs.columns))
     id_name, digest_name, found_name = (spare + n for n in ("id", "digest", "found"))
-    lists = found.groupBy(F.col("doc_id").alias(id_name), F.col("digest").alias(digest_name)).agg(
-        F.collect_list(F.struct("origin", "lines", "words")).alias(found_name)
-    )
+    lists = found.select(F.col("doc_id").alias(id_name), F.col("digest").alias(digest_name), F.array_sort("lines").alias(found_name))
     lists = sendable(materialize(lists), BROADCAST_ROWS)
     same = docs[id_col].cast("bigint").eqNullSafe(lists[id_name]) & (
-        F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == lists[digest_name]
+        F.unhex(F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")))) == lists[digest_name]
     )
     met = docs.join(lists, same, "left")
     text = F.col(f"`{text_col}`").cast("string")
     all_lines = F.split(text, "\n")
-    filled = F.size(F.filter(all_lines, lambda x: F.trim(x) != ""))
-    n_words = F.aggregate(all_lines, F.lit(0), lambda total, x: total + F.when(F.trim(x) != "", token_count(F.trim(x))).otherwise(0))
-    is_copy = lambda g: (g["words"] * 2 >= n_words) & ((F.size(g["lines"]) >= 2) | (F.size(g["lines"]) >= filled))
-    open_to_it = F.col(found_name).isNotNull()
-    dropped = F.when(
-        open_to_it & ~F.exists(found_name, is_copy) if copies == MOST else open_to_it,
-        F.array_sort(F.flatten(F.transform(found_name, lambda g: g["lines"]))),
-    ).otherwise(F.array().cast("array<int>"))
+    dropped = F.coalesce(F.col(found_name), F.array().cast("array<int>"))
     kept = F.when(
         F.size("dropped_lines") > 0,
         F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("dropped_lines", i)), "\n"),

@@ -98,11 +98,7 @@ keyed AS (SELECT f.t, CASE WHEN {enough.format("len(list_filter(s.shape, lambda
   WHEN {enough.format("len(list_filter(f.t, lambda x: x <> '<*>'))", "len(f.t)")} THEN 'f' || array_to_string(f.t, ' ') END AS key FROM forms f LEFT JOIN shapes s USING (t)),
 seen AS (SELECT m.doc_id, m.no, len(m.t) AS size, m.t[:{depth}] AS lead, k.key FROM masked m JOIN keyed k USING (t) WHERE k.key IS NOT NULL),
 often AS (SELECT size, lead, key, min({{'d': doc_id, 'n': no}}) AS head FROM seen GROUP BY ALL HAVING count(DISTINCT doc_id) >= {min_docs}),
-shared AS (SELECT doc_id, head.d AS origin, list(no) AS nos, sum(size) AS words FROM seen JOIN often USING (size, lead, key)
-  WHERE NOT (doc_id = head.d AND no = head.n) GROUP BY ALL),
-sizes AS (SELECT doc_id, count(*) AS filled, sum(len(t)) AS words FROM masked GROUP BY 1),
-copies AS (SELECT DISTINCT s.doc_id FROM shared s JOIN sizes z USING (doc_id) WHERE 2 * s.words >= z.words AND (len(s.nos) >= 2 OR len(s.nos) >= z.filled)),
-dropped AS (SELECT doc_id, list_sort(flatten(list(nos))) AS d FROM shared WHERE doc_id NOT IN (SELECT doc_id FROM copies) GROUP BY 1)
+dropped AS (SELECT doc_id, list_sort(list(no)) AS d FROM seen JOIN often USING (size, lead, key) WHERE NOT (doc_id = head.d AND no = head.n) GROUP BY 1)
 SELECT doc_id, coalesce(len(d), 0) AS n_dropped, coalesce(array_to_string(d, ','), '') AS dropped_lines,
   sha256(CASE WHEN d IS NULL THEN coalesce(text, '') ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(d, i - 1)), chr(10)) END) AS kept_sha256
 FROM split LEFT JOIN dropped USING (doc_id)"""

@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatterforge.llm.common import LOWER_TABLE, id_text, materialize, utf8
+from chatterforge.llm.common import LOWER_TABLE, id_text, materialize, sendable, utf8
 from chatterforge.llm.components import connected_components
 
 BITS = 64
 RADIUS = 2
 SHINGLE_WORDS = 3
 SEED = 42
+#: Rows of the list of leaving documents that is broadcast, if it has few enough bytes too.
+BROADCAST_ROWS = 500_000
 #: Shingles whose bits are counted at once, to bound a worker's memory.
 BLOCK = 1 << 15
 
@@ -73,12 +75,16 @@ def simhash(data: bytes, size: int = SHINGLE_WORDS, seed: int = SEED) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([simhash(t) for t in utf8(batch["text"])], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch[n] for n in kept), pa.array(prints, pa.int64())], [*kept, "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint of each whole text as a signed 64-bit integer."""
-    return id_text(docs, id_col, text_col).mapInArrow(_fingerprint_batches, "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_col: str | None = None) -> DataFrame:
+    """``doc_id, fp``: the fingerprint of each whole text as a signed 64-bit integer; ``digest`` too if its column is named."""
+    if digest_col is None:
+        return id_text(docs, id_col, text_col).mapInArrow(_fingerprint_batches, "doc_id bigint, fp bigint")
+    named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(digest_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return named.mapInArrow(_fingerprint_batches, "doc_id bigint, digest binary, fp bigint")
 
 
 def hamming_edges(prints: DataFrame) -> DataFrame:
@@ -117,16 +123,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component_id`` is the smallest id reachable over links, the row's own
     included.  Null and blank texts have fingerprint zero and are linked like any
-    other.  Each repeated row is returned; rows with a null id are returned
+    other; very long ones are hashed whole, in blocks.  Each repeated row is returned; rows with a null id are returned
     with the component of their fingerprint, and null where no member has an id.  An empty table gives an empty result; columns other than
     the two named ones are not read.
     """
     prints = materialize(fingerprints(docs, id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = connected_components(hamming_edges(classes.select("fp")))
-    labelled = classes.join(labels, classes["fp"] == labels["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
+    # Classes of equal fingerprints are looked at, not rows: the largest group is one row until the last join.
+    labelled = with_components(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labelled.select("fp", "component").join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -134,14 +137,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def with_components(classes: DataFrame) -> DataFrame:
+    """``classes``, one row per fingerprint ``fp``, with the fingerprint that names its component."""
+    labels = connected_components(hamming_edges(classes.select("fp")))
+    return classes.join(labels, classes["fp"] == labels["node"], "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id.
 
-    Rows without an id cannot be told apart and all stay.  Of rows that repeat
-    the staying id, one stays.
+    Rows without an id cannot be told apart and all stay.  Rows that repeat an id are told apart by
+    their texts: of rows equal in both one stays; rows of one id with different texts stay or go each with
+    its own component, and where several of one component have its smallest id, that of the smallest text digest stays.
+    Null and empty texts are equal texts here; very long ones are looked at whole.  Only ids and digests are
+    compared, and texts move only where an id repeats.  All columns are returned; an empty table gives an empty result.
     """
-    kept = (
-        near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    )
-    named = docs.join(kept, docs[id_col].cast("bigint") == kept["__kept"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    spare = "_" * (1 + max(len(c) for c in docs.columns))
+    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), digest.alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    prints = materialize(fingerprints(rows, "doc_id", "text", "digest").where("doc_id is not null"))
+    place = F.struct("doc_id", "digest")
+    labelled = with_components(prints.groupBy("fp").agg(F.min(place).alias("least")))
+    # Of each component, the smallest id and then the smallest digest.
+    heads = labelled.groupBy("component").agg(F.min("least").alias("head"))
+    named = labelled.select("fp", "component").join(heads, "component").select("fp", "head")
+    pair = lambda df: materialize(df.select(F.col("doc_id").alias(f"{spare}id"), F.col("digest").alias(f"{spare}digest")).distinct())
+    gone = pair(prints.join(named, "fp").where(place != F.col("head")))
+    again = pair(prints.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    same = (docs[id_col].cast("bigint") == gone[f"{spare}id"]) & (digest == gone[f"{spare}digest"])
+    left = docs.join(sendable(gone, BROADCAST_ROWS), same, "left_anti")
+    if again.isEmpty():
+        return left
+    repeats = (docs[id_col].cast("bigint") == again[f"{spare}id"]) & (digest == again[f"{spare}digest"])
+    once = left.join(again, repeats, "left_semi").withColumn(f"{spare}digest", digest).dropDuplicates([id_col, f"{spare}digest"]).drop(f"{spare}digest")
+    return left.join(again, repeats, "left_anti").unionByName(once)

@@ -12,8 +12,8 @@ def tokens(line):
     return [("<*>" if re.search("[0-9]", t) else t) for t in line.strip(" ").split(" ")]
 
 
-def model(docs, depth=2, min_docs=3, min_tokens=3):
-    """docs: id -> text; gives id -> dropped line numbers."""
+def model(docs, depth=2, min_docs=3, min_tokens=3, exact=False):
+    """docs: id -> text; gives id -> dropped line numbers; ``exact``: copies of a first holder keep what it keeps."""
     lines = [(i, n, tuple(tokens(x))) for i, t in docs.items() for n, x in enumerate(t.split("\n")) if x.strip(" ")]
     leaves, rows = defaultdict(set), defaultdict(int)
     for _, _, t in lines:
@@ -35,22 +35,14 @@ def model(docs, depth=2, min_docs=3, min_tokens=3):
     for i, n, t in lines:
         if key[t] is not None:
             where[len(t), t[:depth], key[t]].append((i, n, len(t)))
-    shared = defaultdict(lambda: [[], 0])
+    dropped = {i: [] for i in docs}
     for places in where.values():
         if len({i for i, _, _ in places}) >= min_docs:
-            first = min(places)
-            for i, n, size in places:
-                if (i, n) != first[:2]:
-                    shared[i, first[0]][0].append(n)
-                    shared[i, first[0]][1] += size
-    dropped = {i: [] for i in docs}
-    for i, t in docs.items():
-        mine = [v for (d, _), v in shared.items() if d == i]
-        filled = [x for x in t.split("\n") if x.strip(" ")]
-        size = sum(len(tokens(x)) for x in filled)
-        if not any(2 * w >= size and (len(n) >= 2 or len(n) >= len(filled)) for n, w in mine):
-            dropped[i] = sorted(x for n, _ in mine for x in n)
-    return dropped
+            first, line, _ = min(places)
+            for i, n, _ in places:
+                if n != line or not (i == first or (exact and docs[i] == docs[first])):
+                    dropped[i].append(n)
+    return {i: sorted(d) for i, d in dropped.items()}
 
 
 def result(df):
@@ -78,25 +70,27 @@ def test_variable_fields_and_words(spark):
     assert model({i: t.split("\n")[1] + f"\nline {i}{i} alone and else {'x ' * i}" for i, t in rows}, depth=1)[5] == [0]
 
 
-def test_first_occurrence_and_copies_stay(spark):
+def test_the_first_occurrence_stays(spark):
     line = "Licensed under the same old words."
     rows = [(i, f"{' '.join(w * 3 for w in 'abcdefghijklm'[i : i + 8])} is most of this text\n{line}") for i in range(5)]
     rows += [(10 + i, "a first line that is shared\na second line that is shared too") for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {r["doc_id"]: (r["text"], r["dropped_lines"]) for r in L.dedup_lines(docs).collect()}
-    assert found[0] == (rows[0][1], [])
+    assert found[0] == (rows[0][1], []) and found[10] == (rows[5][1], [])
     assert all(found[i] == (rows[i][1].split("\n")[0], [1]) for i in range(1, 5))
-    assert all(found[10 + i] == (rows[5][1], []) for i in range(4))
+    assert all(found[10 + i] == ("", [0, 1]) for i in range(1, 4))
     assert {i: d for i, (_, d) in found.items()} == model(dict(rows))
+    assert result(L.dedup_lines(docs, copies=L.EXACT)) == model(dict(rows), exact=True)
 
 
 def test_awkward_rows(spark):
     docs = awkward(spark, AWKWARD)
     found = L.dedup_lines(docs)
     assert sorted(found.columns) == sorted(docs.columns)
-    rows = found.collect()
-    assert len(rows) == len(AWKWARD)
-    assert sorted(str((r["doc_id"], r["text"])) for r in rows) == sorted(str(x) for x in AWKWARD)
+    # SAME stands in the rows of a null id, 4, 5 and 6; the null id comes first.
+    kept = lambda i, t: (i, "" if t == SAME and i is not None else t)
+    assert sorted(str((r["doc_id"], r["text"])) for r in found.collect()) == sorted(str(kept(i, t)) for i, t in AWKWARD)
+    assert sorted(str((r["doc_id"], r["text"])) for r in L.dedup_lines(docs, copies=L.EXACT).collect()) == sorted(str(x) for x in AWKWARD)
     assert L.dedup_lines(awkward(spark, [])).count() == 0
     more = [(i, f"{SAME}\n{'abcdefgh'[i] * 4} is the rest of this text and is longer than the line above it is, by one word or more ok") for i in range(4)]
     dropped = {r["doc_id"]: r["dropped_lines"] for r in L.dedup_lines(awkward(spark, [*more, (3, None), (None, SAME + "\n" + "y " * 50)])).collect() if r["text"]}
@@ -123,7 +117,7 @@ def test_every_document_drops_templates_and_exact_copies_stay_equal(spark):
     rows = [(i, f"{head}\n{'abcdefgh'[i] * 3} own\n{foot}") for i in range(5)]
     rows += [(10 + i, head) for i in range(3)] + [(20, rows[0][1]), (21, rows[1][1])]
     docs = spark.createDataFrame([*rows, rows[2]], "doc_id bigint, text string")
-    assert result(L.dedup_lines(docs))[2] == []
+    assert result(L.dedup_lines(docs)) == result(L.dedup_lines(docs, copies=L.NONE))
     whole = {0: [], **{i: [0, 2] for i in (1, 2, 3, 4, 20, 21)}, 10: [0], 11: [0], 12: [0]}
     assert result(L.dedup_lines(docs, copies=L.NONE)) == whole
     # Document 20 is the text of the first holder, 21 that of a document that drops both lines.

@@ -39,7 +39,7 @@ def test_quality_stage_keeps_good_documents(spark, sf_dir, stages):
 
 def test_line_stage(stages):
     before = by_id(stages[1])
-    dropped = test_line_templates.model(before)
+    dropped = test_line_templates.model(before, exact=True)
     expected = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in dropped[i]) for i, t in before.items()}
     assert by_id(stages[2]) == expected
 

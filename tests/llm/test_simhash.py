@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import xxhash
@@ -130,3 +131,12 @@ def test_one_of_each_group_stays(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(4) == 1 and not {5, 6, 2, 7} & set(ids) and 1 in ids and ids.count(None) == 2
     assert S.keep_one(awkward(spark, [])).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts_are_different_documents(spark):
+    alike = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, "one text of its own"), (7, "something else entirely here"), (7, "something else entirely here"), (8, "one text of its own"), (9, alike), (9, alike.replace("w59", "w5x")), (None, alike)]
+    kept = sorted(str((r["doc_id"], r["text"])) for r in S.keep_one(awkward(spark, rows)).collect())
+    close = S.simhash(alike.encode()) ^ S.simhash(rows[5][1].encode())
+    nine = [rows[4], rows[5]] if close.bit_count() > 2 else [min(rows[4:6], key=lambda r: hashlib.md5(r[1].encode()).digest())]
+    assert kept == sorted(map(str, [rows[0], rows[1], *nine, rows[6]]))
