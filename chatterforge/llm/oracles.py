@@ -147,32 +147,44 @@ def _spans_sql(source: str, pattern: str) -> str:
   unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) AS i FROM {source})"""
 
 
-def pii_disclosure(support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> str:
+_GROUP = (
+    "CASE kind WHEN 'email' THEN lower(split_part(v, '@', 2)) WHEN 'ip' THEN regexp_extract(v, '^[0-9]+\\.[0-9]+') "
+    "WHEN 'card' THEN left(regexp_replace(v, '[^0-9]', '', 'g'), 6) ELSE left(regexp_replace(v, '[^0-9]', '', 'g'), 4) END"
+)
+
+
+def pii_disclosure(generalise: float = 0.8, remove: float = 0.95, z: float = 1.645, sure: float = 0.5) -> str:
     kinds = " UNION ALL ".join(
         f"SELECT doc_id, {n} AS k, '{kind}' AS kind, s, e, v FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM ({_spans_sql('docs', pattern)})) WHERE {valid}"
         for n, (kind, (pattern, valid)) in enumerate(_ENTITIES.items())
     )
     counts = ", ".join(f"coalesce(count_if(kind = '{k}'), 0) AS n_{k}" for k in _ENTITIES)
+    term, zz = r"[\p{L}\p{N}]+", f"({z}::DOUBLE * {z}::DOUBLE)"
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest FROM documents),
 base AS ({kinds}),
 texts AS (SELECT digest, any_value(text) AS text FROM docs GROUP BY 1),
 entities AS (SELECT DISTINCT kind, v, digest FROM base JOIN docs USING (doc_id)),
-known AS (SELECT kind, v, count(*) AS n_c FROM entities GROUP BY ALL HAVING count(*) >= {support}),
-words AS (SELECT digest, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}'))) AS term FROM texts),
-together AS (SELECT kind, v, n_c, term, count(*) AS n_ct FROM known JOIN entities USING (kind, v) JOIN words USING (digest) GROUP BY ALL HAVING count(*) >= {support}),
-n_t AS (SELECT term, count(*) AS n_t FROM words WHERE term IN (SELECT term FROM together) GROUP BY 1),
-n AS (SELECT count(*) AS n FROM texts),
-risky AS (SELECT term, max(ln(n * n_ct::DOUBLE / (n_c * n_t)) / ln(n::DOUBLE / n_c)) AS d FROM together JOIN n_t USING (term), n WHERE n > n_c GROUP BY 1 HAVING d >= {generalise}),
+classes AS (SELECT DISTINCT kind, unnest([kind, kind || '|g|' || {_GROUP}, kind || '|v|' || v]) AS c, digest FROM entities),
+known AS (SELECT c, count(*) AS n_c FROM classes GROUP BY 1),
+words AS (SELECT digest, unnest(list_distinct(list_transform(regexp_extract_all(text, '{term}'), lambda x: lower(x)))) AS term FROM texts),
+together AS (SELECT c, kind, term, count(*) AS n_ct FROM classes JOIN words USING (digest) GROUP BY ALL),
+n_t AS (SELECT term, count(*)::DOUBLE AS n_t FROM words WHERE term IN (SELECT term FROM together) GROUP BY 1),
+n AS (SELECT count(*)::DOUBLE AS n FROM texts),
+shares AS (SELECT *, n_ct / n_t AS q FROM together JOIN n_t USING (term) JOIN known USING (c), n WHERE n > n_c),
+bounds AS (SELECT *, (q + {zz} / (2 * n_t) - {z}::DOUBLE * sqrt(q * (1 - q) / n_t + {zz} / (4 * n_t * n_t))) / (1 + {zz} / n_t) AS p FROM shares),
+risky AS (SELECT term, m.d AS d, m.k AS own FROM (SELECT term, max({{'d': ln(p * n / n_c) / ln(n / n_c), 'k': kind}}) AS m FROM bounds WHERE p >= {sure} GROUP BY 1) WHERE m.d >= {generalise}),
 held AS (SELECT doc_id, text FROM docs WHERE digest IN (SELECT digest FROM words JOIN risky USING (term))),
-runs AS ({_spans_sql('held', chr(92) + 'p{L}+')}),
-added AS (SELECT doc_id, CASE WHEN d >= {remove} THEN 5 ELSE 4 END AS k, CASE WHEN d >= {remove} THEN 'removed' ELSE 'generalised' END AS kind, s, e
+runs AS ({_spans_sql('held', term)}),
+added AS (SELECT doc_id, CASE WHEN d >= {remove} THEN 5 ELSE 4 END AS k, CASE WHEN d >= {remove} THEN 'removed' ELSE 'generalised' END AS kind, s, e, own
   FROM runs JOIN risky ON term = lower(v) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = runs.doc_id AND b.s < runs.e AND runs.s < b.e)),
-every AS (SELECT doc_id, k, kind, s, e FROM base UNION ALL SELECT * FROM added),
+every AS (SELECT doc_id, k, kind, s, e, '<' || kind || '>' AS tag FROM base UNION ALL SELECT doc_id, k, kind, s, e, CASE k WHEN 5 THEN '' ELSE '<' || own || ' term>' END FROM added),
+ordered AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e, tag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_end FROM every),
+pieces AS (SELECT o.*, CASE WHEN e > at_end THEN substr(text, at_end + 1, greatest(s - at_end, 0)) || tag ELSE '' END AS piece FROM ordered o JOIN docs USING (doc_id)),
 found AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4) AS base_spelled,
-  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM every GROUP BY 1)
-SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _ENTITIES)}, sha256(coalesce(base_spelled, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM docs LEFT JOIN found USING (doc_id)"""
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans, string_agg(piece, '' ORDER BY s, e, tag) AS pieces, max(e) AS last_end FROM pieces GROUP BY 1)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _ENTITIES)}, sha256(coalesce(base_spelled, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  sha256(CASE WHEN last_end IS NULL THEN text ELSE pieces || substr(text, last_end + 1) END) AS sanitised_sha256 FROM docs LEFT JOIN found USING (doc_id)"""
 
 
 ORACLE_SQL = {

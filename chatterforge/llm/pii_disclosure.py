@@ -1,16 +1,19 @@
 r"""Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
 *Protected entities* are the e-mail addresses, IP addresses, card and phone
-numbers that fixed patterns find.  *Disclosing terms* are words that give such
-an entity away: with n(c), n(t) and n(c, t) different texts that hold entity c, term t
-and both, of N in all,
+numbers that fixed patterns find.  Personal values hardly ever repeat, so an entity is looked at on
+three levels: its kind, its group (mail domain, first half of an IP address, first digits of a number), and
+its value.  *Disclosing terms* are runs of letters and digits, of any length, that give such a class away.
+With n(c), n(t) and n(c, t) different texts that hold class c, term t and both, of N in all, and p the lower
+end of the one-sided 95 % Wilson interval of n(c, t) / n(t),
 
-    PMI(c; t) = log(N n(c, t) / (n(c) n(t))),    IC(c) = log(N / n(c)).
+    PMI(c; t) = log(p N / n(c)),    IC(c) = log(N / n(c)).
 
-PMI reaches IC when the term never occurs without the entity.  A term whose largest
-PMI / IC over all entities reaches ``REMOVE`` is removed, from ``GENERALISE`` on it
-is replaced by its class.  Texts are counted once however often they are copied, and
-an estimate needs ``SUPPORT`` texts with both.
+PMI would reach IC if it were certain that the term never stands without the class.  A term is treated where p is at
+least ``SURE``: it gives the class away more often than not.  From PMI / IC of ``GENERALISE`` on it
+is replaced by its class, the kind that it gives away most; from ``REMOVE`` on it is cut.  The bound takes
+the place of a least count: three texts are the fewest that can pass, sixteen are needed for a cut where a class is in a
+sixtieth of all texts.  Texts are counted once however often they are copied.
 
 The pattern matches come from ``split`` and ``regexp_extract_all``, whose pieces
 alternate; all loops inside the patterns are possessive, so that long runs of digits
@@ -41,33 +44,52 @@ PRESENT = {
     "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){12}"),
     "phone": lambda t: t.contains("+"),
 }
-TERM = r"\p{L}{4,}+"
-SUPPORT = 3
+TERM = r"[\p{L}\p{N}]++"
 GENERALISE, REMOVE = 0.8, 0.95
+#: Quantile of the interval, and the least lower bound of a term's share of texts with the class.
+Z, SURE = 1.645, 0.5
+#: Elements that a running fold goes through before it starts a new list.
+CHUNK = 128
 #: Rows of a table (about 100 bytes each) that is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
-def match_spans(text: Column, pattern: Column | str, kind: Column | str) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each number of an array, what ``join`` makes of those before it, from 0.
+
+    Lists grow by copying, so the array is gone through in chunks, and only the totals of the chunks in one go.
+    """
+    zero = F.lit(0).cast("bigint")
+    none = F.array().cast("array<bigint>")
+
+    def folded(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: join(a, x)))
+        starts = F.aggregate(totals, F.array(zero), lambda seen, x: F.concat(seen, F.array(join(F.element_at(seen, -1), x))))
+        step = lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen"))
+        within = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("seen")), step)["seen"]
+        return let(starts, lambda first: F.flatten(F.transform(chunks, lambda c, i: within(c, F.get(first, i)))))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(CHUNK)), lambda i: F.slice(v, i, CHUNK))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), folded)).otherwise(none))
+
+
+def match_spans(text: Column, pattern: str, kind: str) -> Column:
     """Leftmost non-overlapping matches as spans in code points."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    pieces = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit")
-    )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("found"))
+    pieces = F.arrays_zip(F.split(text, F.lit(pattern), -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    size = lambda p: (F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))).cast("bigint")
 
-    def step(state: Column, piece: Column) -> Column:
-        begin = state["at"] + F.length(piece["gap"])
-        end = begin + F.length(piece["hit"])
-        one = F.struct(kind.alias("kind"), begin.alias("start"), end.alias("end"), piece["hit"].alias("value"))
-        return F.struct(
-            F.coalesce(end, begin).alias("at"),
-            F.when(piece["hit"].isNull(), state["found"]).otherwise(F.concat(state["found"], F.array(one))).alias("found"),
-        )
+    def span(p: Column, at: Column) -> Column:
+        begin = at + F.length(p["gap"])
+        return F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + F.length(p["hit"])).alias("end"), p["hit"].alias("value"))
 
-    return F.aggregate(pieces, start, step)["found"]
+    placed = let(pieces, lambda ps: F.zip_with(ps, running(F.transform(ps, size), lambda a, x: a + x), span))
+    return F.filter(placed, lambda s: s["value"].isNotNull())
 
 
 def luhn(digits: Column) -> Column:
@@ -111,21 +133,44 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def disclosing_terms(texts: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
-    """``term, disclosure`` of the terms to treat, and ``digest, terms`` of the texts that hold them.
+def entity_classes(span: Column) -> Column:
+    """The classes of an entity: its kind, its group and its value."""
+    kind, value = span["kind"], span["value"]
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    group = (
+        F.when(kind == "email", F.lower(F.substring_index(value, "@", -1)))
+        .when(kind == "ip", F.substring_index(value, ".", 2))
+        .when(kind == "card", F.left(digits, F.lit(6)))
+        .otherwise(F.left(digits, F.lit(4)))
+    )
+    return F.array(kind, F.concat(kind, F.lit("|g|"), group), F.concat(kind, F.lit("|v|"), value))
+
+
+def text_terms(text: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def lower_bound(n: Column, of: Column) -> Column:
+    """The lower end of the Wilson interval of the share ``n / of``."""
+    share, z = n / of, F.lit(Z)
+    spread = z * F.sqrt(share * (1 - share) / of + z * z / (4 * of * of))
+    return (share + z * z / (2 * of) - spread) / (1 + z * z / of)
 
-    ``texts`` has doc_id, text, digest and base.
+
+def disclosing_terms(texts: DataFrame, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+    """``term, disclosure, kind`` of the terms to treat, and ``digest, terms`` of the texts that hold them.
+
+    ``texts`` has text, digest and base.
     """
     holders = texts.where(F.size("base") > 0).groupBy("digest").agg(F.first("text").alias("text"), F.first("base").alias("base"))
-    holders = materialize(holders)
-    entities = holders.select("digest", F.explode("base").alias("s")).select("digest", "s.kind", "s.value").distinct()
-    known = entities.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
-    known = materialize(known)
-    met = entities.join(known, ["kind", "value"]).join(holders.select("digest", "text"), "digest")
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    together = met.select("kind", "value", "n_c", F.explode(terms).alias("term"))
-    together = together.groupBy("kind", "value", "n_c", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    together = materialize(together)
+    holders = materialize(holders.select("text", F.array_distinct(F.flatten(F.transform("base", entity_classes))).alias("classes")))
+    known = holders.select(F.explode("classes").alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_c"))
+    # No share of fewer texts has a lower bound of SURE.
+    fewest = Z * Z * SURE / (1 - SURE)
+    terms = text_terms(F.col("text"))
+    both = holders.select("classes", F.explode(terms).alias("term")).select(F.explode("classes").alias("class"), "term")
+    together = materialize(both.groupBy("class", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= fewest))
     wanted = sendable(materialize(together.select("term").distinct()), BROADCAST_ROWS)
     # Each of m copies of a text counts 1 / m, so that the counts are summed where the texts are read.
     copies = materialize(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("m")))
@@ -133,59 +178,70 @@ def disclosing_terms(texts: DataFrame, support: int = SUPPORT, least: float = GE
     several = sendable(materialize(copies.where("m > 1")), BROADCAST_ROWS)
     weighed = texts.join(several, "digest", "left").select((1 / F.coalesce("m", F.lit(1))).alias("weight"), F.explode(terms).alias("term"))
     n_t = weighed.join(wanted, "term").groupBy("term").agg(F.round(F.sum("weight"), 3).alias("n_t"))
-    pmi = F.log(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    scored = together.join(n_t, "term").where(F.col("n_c") < n).select("term", (pmi / F.log(n / F.col("n_c"))).alias("d"))
-    risky = materialize(scored.groupBy("term").agg(F.max("d").alias("disclosure")).where(F.col("disclosure") >= least))
+    met = together.join(n_t, "term").join(known, "class").where(F.col("n_c") < n).withColumn("p", lower_bound(F.col("n_ct"), F.col("n_t")))
+    rated = met.where(F.col("p") >= SURE).select(
+        "term",
+        (F.log(F.col("p") * n / F.col("n_c")) / F.log(n / F.col("n_c"))).alias("d"),
+        F.substring_index("class", "|", 1).alias("kind"),
+    )
+    worst = rated.groupBy("term").agg(F.max(F.struct("d", "kind")).alias("worst")).where(F.col("worst.d") >= least)
+    risky = materialize(worst.select("term", F.col("worst.d").alias("disclosure"), F.col("worst.kind").alias("kind")))
     placed = texts.select("digest", F.explode(terms).alias("term")).join(sendable(risky, BROADCAST_ROWS), "term").distinct()
-    held = placed.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
+    held = placed.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("disclosure", "kind")))).alias("terms"))
     return risky, held
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with every span of the list replaced by its class, or cut."""
-    tag = lambda s: F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+def sanitised(text: Column, base: Column, added: Column) -> Column:
+    """The text with every entity replaced by its kind, and disclosing terms by their class or by nothing."""
+    cut = lambda s, tag: F.struct(s["start"].alias("start"), s["end"].alias("end"), tag.alias("tag"))
+    named = F.transform(base, lambda s: cut(s, F.concat(F.lit("<"), s["kind"], F.lit(">"))))
+    more = F.transform(added, lambda s: cut(s, F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("<"), s["of"], F.lit(" term>")))))
+
+    def piece(s: Column, at: Column) -> Column:
+        gap = text.substr((at + 1).cast("int"), F.greatest(s["start"] - at, F.lit(0)).cast("int"))
+        return F.when(s["end"] > at, F.concat(gap, s["tag"])).otherwise(F.lit(""))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = text.substr((state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
-        fresh = s["end"] > state["at"]
-        return F.struct(
-            F.greatest(s["end"], state["at"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], gap, tag(s))).otherwise(state["out"]).alias("out"),
-        )
+    def joined(spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        pieces = F.array_join(F.zip_with(spans, running(ends, F.greatest), piece), "")
+        last = F.array_max(ends)
+        return F.concat(pieces, text.substr((last + 1).cast("int"), F.greatest(F.length(text) - last, F.lit(0)).cast("int")))
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(ordered, start, step)
-    rest = text.substr((done["at"] + 1).cast("int"), F.greatest(F.length(text) - done["at"], F.lit(0)).cast("int"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], rest))
+    spans = F.array_sort(F.concat(named, more))
+    return F.when((F.size(base) == 0) & (F.size(added) == 0), text).otherwise(let(spans, joined))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT) -> DataFrame:
+def sanitise(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE
+) -> DataFrame:
     """``doc_id, text, base, added, sanitised`` for every row of ``docs``.
 
     ``base`` are the protected entities, ``added`` the occurrences of disclosing
-    terms outside them (kind ``generalised`` or ``removed``), both with start and end in
-    code points; ``sanitised`` is the text with both replaced.  A null text counts as
-    empty and has no spans; repeated rows are returned each and count as one text;
+    terms outside them (kind ``generalised`` or ``removed``, and ``of``, the kind of entity they give away), both with start
+    and end in code points; ``sanitised`` is the text with both replaced.  A null text counts as
+    empty and has no spans; a very long one is looked at whole; repeated rows are returned each and count as one text;
     null ids are returned as they are; columns other than the two named are not
     read.  An empty table gives an empty result.
     """
-    texts = id_text(docs, id_col, text_col).withColumn("digest", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
-    _, held = disclosing_terms(texts, support)
+    texts = id_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.md5("text"))).withColumn("base", base_spans(F.col("text")))
+    _, held = disclosing_terms(texts, generalise)
     met = texts.join(sendable(materialize(held), BROADCAST_ROWS), "digest", "left")
-    words = F.array_join(F.array_sort(F.map_keys("terms")), "|")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), words, F.lit(r")(?!\p{L})"))
-    hits = match_spans(F.col("text"), pattern, "removed")
+    risk = lambda s: F.element_at("terms", F.lower(s["value"]))
+    hits = F.filter(match_spans(F.col("text"), TERM, "term"), lambda s: F.map_contains_key("terms", F.lower(s["value"])))
     apart = F.filter(hits, lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    level = lambda s: F.element_at("terms", F.lower(s["value"]))
     added = F.transform(
         apart,
         lambda s: F.struct(
-            F.when(level(s) >= REMOVE, "removed").otherwise("generalised").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")
+            F.when(risk(s)["disclosure"] >= remove, "removed").otherwise("generalised").alias("kind"),
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            s["value"].alias("value"),
+            risk(s)["kind"].alias("of"),
         ),
     )
-    met = met.withColumn("added", F.when(F.col("terms").isNotNull(), added).otherwise(F.array().cast(SPAN)))
-    return met.select("doc_id", "text", "base", "added", sanitised(F.col("text"), F.concat("base", "added")).alias("sanitised"))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string,of:string>>")
+    met = met.withColumn("added", F.when(F.col("terms").isNotNull(), added).otherwise(none))
+    return met.select("doc_id", "text", "base", "added", sanitised(F.col("text"), F.col("base"), F.col("added")).alias("sanitised"))
 
 
 def spell(spans: Column) -> Column:
@@ -196,7 +252,8 @@ def spell(spans: Column) -> Column:
 def span_report(found: DataFrame) -> DataFrame:
     """Counts, digest and spelled spans of :func:`sanitise`'s rows."""
     counts = [F.size(F.filter("base", of_kind(k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    added = [F.filter("added", of_kind(k)) for k in ("generalised", "removed")]
+    added = F.concat(*[F.filter("added", of_kind(k)) for k in ("generalised", "removed")])
+    spelled = F.array_join(F.filter(F.array(*[F.when(F.size(x) > 0, spell(x)) for x in (F.col("base"), added)]), lambda x: x.isNotNull()), ",")
     return found.select(
-        "doc_id", *counts, F.sha2(spell(F.col("base")), 256).alias("base_sha256"), spell(F.concat("base", *added)).alias("spans")
+        "doc_id", *counts, F.sha2(spell(F.col("base")), 256).alias("base_sha256"), spelled.alias("spans"), F.sha2("sanitised", 256).alias("sanitised_sha256")
     )

@@ -22,8 +22,9 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 
 def test_disclosing_terms_equal_their_sql(spark):
-    rows = [(i, f"all texts share this; Zoë writes from boss@corp.example, number {'abcdefgh'[i]}") for i in range(5)]
-    rows += [(10 + i, f"all texts share this and nothing else {'ijklmnopq'[i % 9]}{i}") for i in range(30)]
+    rows = [(i, f"all texts share this; Zoë writes from boss{i % 3}@corp.example, number {'abcdefghijklmnopqrstuvwxyz'[i % 26]}") for i in range(5)]
+    rows += [(70 + i, f"all texts share this; Zoë writes from boss{i % 3}@corp.example, number q{i}") for i in range(30)]
+    rows += [(110 + i, f"all texts share this and nothing else {'ijklmnopq'[i % 9]}{i}") for i in range(600)]
     rows += [(50, "only ZOË the writer is here"), (51, rows[0][1]), (52, "zoëx writes"), (53, None), (54, "writes. Writes! WRITES@corp.example")]
     rows += [(60 + i, f"call +1 234 567 890{i % 2} or 10.0.0.{i % 2}, says marigold {i}") for i in range(8)]
     con = duckdb.connect()

@@ -85,30 +85,47 @@ def hard_rows(spark):
 
 def test_patterns_on_hard_texts(spark, hard_rows):
     docs = spark.createDataFrame(list(enumerate(hard_rows)), "doc_id bigint, text string")
-    rows = P.span_report(P.sanitise(docs, support=10**9)).collect()
+    rows = P.span_report(P.sanitise(docs, generalise=2.0)).collect()
     check(rows, lambda r: model(hard_rows[r["doc_id"]]))
 
 
-def test_terms_that_give_an_entity_away(spark):
+def planted():
+    """Texts of which some name a person beside an address: the person's name and nickname give the address away."""
     common = "plain words that every text holds here"
-    rows = [(i, f"{common} zanzibar writes from boss@corp.example number {'abcdefgh'[i]}") for i in range(5)]
-    rows += [(i, f"{common} nothing else {'ijklmnopqrstuvwxyz'[i % 18]}") for i in range(5, 40)]
-    rows += [(50, f"{common} only Zanzibar is named"), (51, rows[0][1]), (52, rows[0][1])]
+    rows = [(i, f"{common} Li, agent x9, writes from boss{i}@corp.example about {'abcdefghijklmnopqrst'[i]}") for i in range(20)]
+    rows += [(100 + i, f"{common} nothing else but t{i}") for i in range(400)]
+    rows += [(600, f"{common} only LI is named"), (601, f"{common} x9 again"), (602, rows[0][1]), (603, rows[0][1])]
+    return rows
+
+
+def test_terms_that_give_an_entity_away(spark):
+    rows = planted()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {r["doc_id"]: r for r in P.sanitise(docs).collect()}
     spelled = {r["doc_id"]: r["spans"] for r in P.span_report(P.sanitise(docs)).collect()}
-    # zanzibar: 5 texts with the entity, 6 in all, of 41 different texts.
-    at = rows[-3][1].index("Zanzibar")
-    assert spelled[50] == f"generalised:{at}:{at + 8}"
-    assert found[50]["sanitised"] == f"{common} only <generalised> is named"
-    assert "boss@corp.example" not in found[0]["sanitised"] and "<email>" in found[0]["sanitised"]
-    assert {a["value"] for a in found[0]["added"]} == {"zanzibar", "writes", "from", "number"}
-    assert "words" in found[0]["sanitised"] and found[7]["added"] == []
-    assert spelled[51] == spelled[0]
+    kinds = {(a["value"].lower(), a["kind"], a["of"]) for r in found.values() for a in r["added"]}
+    # Names of any length and with digits; li and x9 are in 21 texts, 20 of them with an address, so the class is less certain.
+    assert kinds == {(w, "removed", "email") for w in ("agent", "writes", "from", "about")} | {("li", "generalised", "email"), ("x9", "generalised", "email")}
+    at = rows[-4][1].index("LI")
+    assert spelled[600] == f"generalised:{at}:{at + 2}" and found[600]["sanitised"] == rows[-4][1].replace("LI", "<email term>")
+    assert found[0]["sanitised"] == "plain words that every text holds here <email term>,  <email term>,   <email>  a"
+    assert all(not found[100 + i]["added"] for i in range(400)) and spelled[602] == spelled[0]
+
+
+def test_a_term_beside_few_entities_is_left(spark):
+    rows = [(i, f"shared words and rare{i // 2} beside me{i}@corp{i}.example") for i in range(20)] + [(30 + i, f"shared words of text {i} x") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {a["value"] for r in P.sanitise(docs).collect() for a in r["added"]} == {"and", "beside"}
+
+
+def test_running_folds_over_chunks(spark):
+    df = spark.createDataFrame([([],), ([5],), (list(range(1000)),)], "v array<bigint>")
+    for join, expected in ((lambda a, x: a + x, [sum(range(i)) for i in range(1000)]), (P.F.greatest, [max(0, i - 1) for i in range(1000)])):
+        assert [r[0] for r in df.select(P.running(P.F.col("v"), join)).collect()] == [[], [0], expected]
 
 
 def test_a_term_in_a_copied_text_counts_once(spark):
-    rows = [(i, "secret person me@corp.example") for i in range(20)] + [(30 + i, f"other text {i} x") for i in range(20)]
+    rows = [(i, "secret person me@corp.example") for i in range(20)] + [(30 + i, f"other text {i} x") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert all(r["added"] == [] for r in P.sanitise(docs).collect())
 
