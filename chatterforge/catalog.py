@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chatterforge.functions import text as T
 from chatterforge.operators import audit, profiling, style
-from chatterforge.operators.identity import collect_participants, label_messages
+from chatterforge.operators.identity import collect_participants, label_messages, matches
 from chatterforge.operators.masking import masked_spans
 from chatterforge.operators.quality import FilterConfig, classify, filter_messages, filter_report
 from chatterforge.operators.sharegpt import answers, conversations, describe_problem, overlap, split_sample
@@ -22,6 +22,7 @@ from chatterforge.operators.splits import drop_duplicate_samples, split_sessions
 from chatterforge.operators.turns import aggregate_turns, known_time_sessions, sessionize
 from chatterforge.operators.validation import message_violations
 from chatterforge.operators.windows import SESSION, build_windows, trim_history, usable_sessions
+from chatterforge.runtime import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,7 +81,8 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessionize(aggregate_turns(stream(spark, sf_dir)))
+    """Turns and sessions over range partitions, as a transcript is a quarter of all events."""
+    return sessionize(aggregate_turns(stream(spark, sf_dir), spread=True), spread=True)
 
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +270,7 @@ def kept_messages(spark, sf_dir):
 
 @query(f"WITH {_STREAM_TURNS} SELECT transcript_id, turn_no, participant, author_id, content, ids, start_us, end_us FROM bare")
 def events_turns(spark, sf_dir):
-    return aggregate_turns(stream(spark, sf_dir)).select(
+    return aggregate_turns(stream(spark, sf_dir), spread=True).select(
         "transcript_id",
         "turn_no",
         "participant",
@@ -445,12 +447,16 @@ def sample_parts(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_WHOLE}, s AS (SELECT conv_id, c, array_to_string(list_transform(c, lambda t: t.f || t.v), chr(2)) AS k FROM whole)
-SELECT conv_id FROM s WHERE conv_id % 2 = 0 AND k IN (SELECT k FROM s WHERE conv_id % 3 = 0)"""
+    _SPLIT
+    + f""", {_SAMPLES} SELECT session_no, turn_no FROM samples WHERE split = 'train' AND {_SPELLED} IN (SELECT {_SPELLED} FROM samples WHERE split = 'val')"""
 )
 def train_val_overlap(spark, sf_dir):
-    whole = samples(spark, sf_dir)
-    return overlap(whole.where("conv_id % 2 = 0"), whole.where("conv_id % 3 = 0")).select("conv_id")
+    """The training windows that are validation windows too, before equal samples are dropped."""
+    every = split_windows(spark, sf_dir)[1]
+    # Who said a turn is told apart by more than ShareGPT roles, as the signature of a sample does.
+    turns = F.transform("history", lambda t: F.struct(t["participant"].alias("from"), t["content"].alias("value")))
+    every = every.withColumn("conversations", turns)
+    return overlap(every.where("split = 'train'"), every.where("split = 'val'")).select("session_no", "turn_no")
 
 
 @query(
@@ -508,6 +514,64 @@ def violations(spark, sf_dir):
     return message_violations(messages).select("transcript_id", "pos", "code")
 
 
+@query(
+    """SELECT transcript_id, level, n FROM (SELECT user_id % 4 AS transcript_id, 1 AS level, count(DISTINCT user_id) AS n FROM events WHERE user_id = 17 GROUP BY 1
+UNION ALL SELECT user_id % 4, 0, count(DISTINCT user_id) FROM events WHERE user_id = 23 GROUP BY 1)"""
+)
+def speaker_matches(spark, sf_dir):
+    """Whom two references mean: a name, and an id."""
+    found = materialize(collect_participants(records(spark, sf_dir)))
+    mine = [matches(found.where(F.col("transcript_id") == t), ref).select(F.lit(t).cast("bigint").alias("transcript_id"), "level", "n") for t, ref in ((17 % 4, "user-17"), (23 % 4, "23"))]
+    return mine[0].unionByName(mine[1])
+
+
+@query(f"""WITH {_WHOLE} SELECT conv_id, generate_subscripts(a, 1) - 1 AS answer_no, unnest(a).v AS text FROM (SELECT conv_id, list_filter(c, lambda t: t.f = 'gpt') AS a FROM whole)""")
+def target_responses(spark, sf_dir):
+    return profiling.target_responses(samples(spark, sf_dir)).select("conv_id", F.col("answer_no").cast("bigint").alias("answer_no"), "text")
+
+
+@query(
+    f"""WITH b AS (SELECT lang AS transcript_id, doc_id AS pos, source = 'forum' OR doc_id % 7 = 0 AS bot, {_CLEAN.format("text")} AS t FROM documents)
+SELECT transcript_id, pos, CASE WHEN t = '' THEN 'empty' WHEN bot THEN 'bot' WHEN regexp_matches(t, '{_DELETED}') THEN 'deleted_placeholder' END AS reason FROM b"""
+)
+def filter_bots(spark, sf_dir):
+    bot = (F.col("source") == "forum") | (F.col("doc_id") % 7 == 0)
+    said = read(spark, sf_dir, "documents").select(F.col("lang").alias("transcript_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"), bot.alias("bot"))
+    return classify(said).select("transcript_id", "pos", "reason")
+
+
+#: Messages that the tables do not hold, around a name that they do.
+_MADE = ("Message deleted by {0}", "[{0}]", "!play {0}", "see https://a.example/{0}", "https://a.example/{0} www.b.example", "```{0}``` ```x```", "\U0001f600 {0} \u2764\ufe0f <a:wave:12>", "key sk-abcdefghij{0}0123456789", "-----BEGIN RSA PRIVATE KEY----- {0}", "in /home/{0}/notes.txt")
+_MADE_ROWS = " UNION ALL ".join(f"SELECT event_id * {len(_MADE)} + {i} AS id, '" + t.replace("{0}", "' || event_type || '") + "' AS text FROM events" for i, t in enumerate(_MADE))
+
+
+def made(spark, sf_dir):
+    """Ten messages of each event, of kinds that the tables lack."""
+    texts = F.array(*[F.concat(F.lit(t.split("{0}")[0]), F.col("event_type"), F.lit(t.split("{0}")[1])) for t in _MADE])
+    rows = read(spark, sf_dir, "events").select("event_id", F.posexplode(texts).alias("i", "text"))
+    return rows.select((F.col("event_id") * len(_MADE) + F.col("i")).alias("id"), "text")
+
+
+@query(
+    f"""WITH m AS ({_MADE_ROWS}) SELECT id, {_EMOJI.format("text")} AS emoji, len(regexp_extract_all(text, '{_URL}')) AS urls, len(regexp_extract_all(text, '(?s)```.*?```')) AS code_blocks,
+  regexp_replace(text, '(?s)```.*?```', ' ', 'g') AS bare FROM m"""
+)
+def made_markers(spark, sf_dir):
+    """Emoji, links and code blocks, and texts without code."""
+    return made(spark, sf_dir).select("id", T.count_emoji("text").alias("emoji"), T.count_urls("text").alias("urls"), T.count_code_blocks("text").alias("code_blocks"), T.strip_code_blocks("text").alias("bare"))
+
+
+@query(
+    f"""WITH m AS ({_MADE_ROWS}) SELECT id, CASE WHEN regexp_matches(text, '{_DELETED}') THEN 'deleted_placeholder' WHEN regexp_matches(text, '^[!/$.;>~%&+\\-]{{1,2}}[A-Za-z][\\w-]*\\b') THEN 'command'
+  WHEN {_STRIP.format(f"regexp_replace(text, '{_URL}', '', 'g')")} = '' THEN 'url_only' WHEN len(regexp_extract_all(text, '(?s)```.*?```')) > 1 THEN 'code_heavy' END AS reason FROM m"""
+)
+def made_reasons(spark, sf_dir):
+    """Deleted messages, commands, bare links and heaps of code among messages of other kinds."""
+    said = made(spark, sf_dir).select(F.lit("made").alias("transcript_id"), F.col("id").alias("pos"), F.col("text").alias("content"))
+    config = FilterConfig(drop_commands=True, drop_url_only=True, max_code_blocks=1)
+    return classify(said, config).select(F.col("pos").alias("id"), "reason")
+
+
 # ---- profiles of texts -----------------------------------------------------------------------------
 
 
@@ -559,7 +623,7 @@ def message_counts(spark, sf_dir):
 
 # ---- audit ---------------------------------------------------------------------------------------
 
-_SIMPLE = ("api_credential", "credential_assignment", "private_key", "filesystem_path", "url")
+_SIMPLE = ("api_credential", "credential_assignment", "private_key", "email", "filesystem_path", "url")
 
 
 def _rule_sql(name: str) -> str:
@@ -568,17 +632,23 @@ def _rule_sql(name: str) -> str:
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_FOUND = f"""WITH found AS ({" UNION ALL ".join(map(_rule_sql, _SIMPLE))}
+# A number is looked for at the beginning of what is left; what is left begins with the character behind it.
+_PHONE = r"(?:\+\d{1,3}[\s.-]?)?(?:\(\d{2,4}\)[\s.-]?|\d{2,4}[\s.-])\d{3,4}[\s.-]?\d{3,4}"
+_EDGE = r"[^\p{L}\p{N}_.]"
+_FOUND = f"""WITH RECURSIVE phones AS (SELECT doc_id, ' ' || text || ' ' AS rest, '' AS m FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, substr(rest, strpos(rest, whole) + length(whole) - 1), regexp_extract(whole, '({_PHONE}){_EDGE}$', 1)
+  FROM (SELECT doc_id, rest, regexp_extract(rest, '{_EDGE}(?:{_PHONE}){_EDGE}') AS whole FROM phones) WHERE whole <> ''),
+found AS ({" UNION ALL ".join(map(_rule_sql, _SIMPLE))}
 UNION ALL SELECT doc_id, 'ip_address', m FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_.]+')) AS m FROM documents) WHERE regexp_full_match(m, '(?:{_OCTET}\\.){{3}}{_OCTET}')
-UNION ALL SELECT doc_id, 'long_identifier', m FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\d+')) AS m FROM documents) WHERE length(m) >= 12)
+UNION ALL SELECT doc_id, 'long_identifier', m FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\d+')) AS m FROM documents) WHERE length(m) >= 12
+UNION ALL SELECT doc_id, 'phone_number', m FROM phones WHERE m <> '')
 """
 _REDACTED = "CASE WHEN length(m) <= 3 THEN repeat('*', length(m)::INT) ELSE left(m, 3) || repeat('*', least(length(m) - 3, 12)::INT) || ' (' || length(m) || ' chars)' END"
-_SQL_RULES = (*_SIMPLE, "ip_address", "long_identifier")
 
 
 def document_findings(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return audit.findings(docs, rules=tuple(r for r in audit.RULES if r.name in _SQL_RULES))
+    """Findings of all rules in the documents."""
+    return audit.findings(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(_FOUND + f"SELECT doc_id, rule, {_REDACTED.replace('m)', 'trim(m))').replace('left(m,', 'left(trim(m),')} AS redacted FROM found")
@@ -593,13 +663,24 @@ def audit_rule_counts(spark, sf_dir):
 
 @query(
     _FOUND
-    + """SELECT CASE WHEN rule IN ('api_credential', 'credential_assignment', 'private_key') THEN 'high' WHEN rule = 'ip_address' THEN 'medium' ELSE 'low' END AS severity,
+    + """SELECT CASE WHEN rule IN ('api_credential', 'credential_assignment', 'private_key') THEN 'high' WHEN rule IN ('email', 'phone_number', 'ip_address') THEN 'medium' ELSE 'low' END AS severity,
   count(*) AS n FROM found GROUP BY 1"""
 )
 def audit_severity(spark, sf_dir):
     return audit.severity_counts(document_findings(spark, sf_dir))
 
 
+@query(
+    f"WITH m AS ({_MADE_ROWS}), f AS ("
+    + " UNION ALL ".join(_rule_sql(r).replace("doc_id", "id").replace("FROM documents", "FROM m") for r in ("api_credential", "private_key", "filesystem_path", "url"))
+    + ") SELECT id, rule, count(*) AS n FROM f GROUP BY ALL"
+)
+def made_findings(spark, sf_dir):
+    """Keys, paths and links of made messages."""
+    rules = tuple(r for r in audit.RULES if r.name in ("api_credential", "private_key", "filesystem_path", "url"))
+    return audit.findings(made(spark, sf_dir), rules=rules).groupBy("id", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     r"""SELECT doc_id, regexp_matches(text, '(?:^|[^\p{L}\p{N}_.])(?:\+\d{1,3}[\s.-]?)?(?:\(\d{2,4}\)[\s.-]?|\d{2,4}[\s.-])\d{3,4}[\s.-]?\d{3,4}(?:[^\p{L}\p{N}_.]|$)') AS phone FROM documents"""
 )

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_checkpoints(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is set."""
+    """The shared folder that the session names; a temporary one only in local mode where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
