@@ -48,6 +48,8 @@ BLOCK_MEMBERS = 1000
 #: to the bands; more are shuffled.
 BROADCAST_DOCS = 1_000_000
 BROADCAST_BUCKETS = 2_000_000
+#: Bytes of either, as JSON: joins with these lists would otherwise move every band of every paragraph.
+BROADCAST_BYTES = 64 << 20
 #: Shingles hashed together.
 BLOCK = 4096
 
@@ -265,13 +267,13 @@ def dedup_paragraphs(
     firsts = materialize(firsts.select("key", "first.place", "first.sig", "n"))
     banded = firsts.select("key", "sig").mapInArrow(_band_batches(bands), "bucket bigint, key binary, size int")
     shared = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = sendable(shared, BROADCAST_BUCKETS)
+    shared = sendable(shared, BROADCAST_BUCKETS, BROADCAST_BYTES)
     # Whoever meets most others is compared with them first.
     turn = -F.sum("n").over(Window.partitionBy("key"))
     members = materialize(banded.join(shared, "bucket").select("bucket", "key", "size", turn.alias("turn")))
     wanted = members.select("key").distinct().join(firsts, "key").groupBy("place.doc_id", "place.digest").agg(F.collect_list("key").alias("keys"))
     wanted = materialize(wanted.select(F.col("doc_id").alias("wanted_id"), F.col("digest").alias("wanted_digest"), "keys"))
-    few = sendable(wanted, BROADCAST_DOCS)
+    few = sendable(wanted, BROADCAST_DOCS, BROADCAST_BYTES)
     same = texts["doc_id"].eqNullSafe(few["wanted_id"]) & (texts["digest"] == few["wanted_digest"])
     sets = texts.join(few, same).select("text", "keys").mapInArrow(_shingle_batches(size), "key binary, grams binary")
     sets = materialize(sets.dropDuplicates(["key"]))
