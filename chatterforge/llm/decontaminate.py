@@ -3,7 +3,7 @@
 Every benchmark item is cut into windows of ``WINDOW`` consecutive words.  A
 document is searched for exact occurrences of any of them:
 
-1. the words of the windows are ordered by rarity, counted over all documents;
+1. the words of the windows are ordered by rarity, the number of documents that hold them, over all documents;
 2. exact containment needs every word of a window, so its necessary prefix under
    that order is its one rarest word: documents are joined with the windows
    on that word only; a window whose rarest word is in no document is left out;
@@ -76,18 +76,20 @@ class WordMap:
     """Tells words that are surely not wanted from others, by one bit of their hash."""
 
     def __init__(self, bits: bytes):
-        self.bits, self.seen = bits, {}
+        self.bits, self.wanted, self.other = bits, set(), set()
 
-    def __contains__(self, word: bytes) -> bool:
+    def among(self, words: set[bytes]) -> set[bytes]:
+        """Those of ``words`` that may be wanted."""
         import xxhash
 
-        known = self.seen.get(word)
-        if known is None:
-            if len(self.seen) >= MOST_WORDS:
-                self.seen.clear()
-            bit = xxhash.xxh64_intdigest(word, 42) % MAP_BITS
-            known = self.seen[word] = bool(self.bits[bit >> 3] >> (bit & 7) & 1)
-        return known
+        new = words - self.wanted - self.other
+        if new:
+            if len(self.wanted) + len(self.other) >= MOST_WORDS:
+                self.wanted, self.other, new = set(), set(), words
+            for word in new:
+                bit = xxhash.xxh64_intdigest(word, 42) % MAP_BITS
+                (self.wanted if self.bits[bit >> 3] >> (bit & 7) & 1 else self.other).add(word)
+        return words & self.wanted
 
 
 def word_map(words: DataFrame):
@@ -106,9 +108,7 @@ def _count_batches(bits) -> Callable:
         wanted, counts = WordMap(bits.value), Counter()
         for batch in batches:
             for text in utf8(batch["text"]):
-                for word, n in Counter(alnum_words(text)).items():
-                    if word in wanted:
-                        counts[word] += n
+                counts.update(wanted.among(set(alnum_words(text))))
                 if len(counts) >= MOST_WORDS:
                     yield _counted(counts)
                     counts = Counter()
@@ -179,11 +179,12 @@ def _place_batches(bits, width: int) -> Callable:
     """The places of words that may be rare ones, with up to ``width`` - 1 words before and behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = WordMap(bits.value)
+        known = WordMap(bits.value)
         for batch in batches:
             rows: list[tuple] = []
             for digest, text in zip(batch["digest"].to_pylist(), utf8(batch["text"])):
                 words = alnum_words(text)
+                wanted = known.among(set(words))
                 for place, word in enumerate(words):
                     if word in wanted:
                         first = max(0, place - width + 1)
