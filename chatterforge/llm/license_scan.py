@@ -28,6 +28,9 @@ PHRASES = {
 }
 # Licence notices and texts, punctuation left out, with markup.
 TEMPLATES = {
+    "agpl-header": "is free software you can redistribute it and or modify it under the terms of the gnu affero general public "
+    "license as published by the free software foundation either version {2} of the license or at your option any later "
+    "version",
     "all-rights-reserved": "all rights reserved",
     "apache-2.0-notice": "licensed under the apache license [ version ] 2 0",
     "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in "
@@ -40,13 +43,37 @@ TEMPLATES = {
     "this list of conditions and the following disclaimer [ 2 ] redistributions in binary form must reproduce the above "
     "copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
     "provided with the distribution",
+    "boost-notice": "distributed under the boost software license version 1 0",
+    "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied "
+    "warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose "
+    "are disclaimed in no event shall the copyright {6} be liable for any direct indirect incidental special exemplary or "
+    "consequential damages including but not limited to procurement of substitute goods or services loss of use data or "
+    "profits or business interruption however caused and on any theory of liability whether in contract strict liability or "
+    "tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+    "possibility of such damage",
+    "bsd-third-clause": "neither the name of {8} nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission",
     "cc-by-notice": "licensed under [ a ] [ creative commons ] cc by [ nc ] [ sa ] [ nd ] {2} 0",
+    "cc-by-text": "this work is licensed under a creative commons attribution [ noncommercial ] [ sharealike ] "
+    "[ noderivatives ] {2} international license",
+    "cc0-waiver": "to the extent possible under law {12} waived all copyright and related or neighboring rights to",
     "gpl-notice": "licensed under the [ terms of the ] gnu general public license [ version {1} ]",
     "gpl-header": "is free software you can redistribute it and or modify it under the terms of the gnu general public "
     "license as published by the free software foundation either version {1} of the license or at your option any later "
     "version",
+    "gpl-warranty": "is distributed in the hope that it will be useful but without any warranty without even the implied "
+    "warranty of merchantability or fitness for a particular purpose see the gnu [ lesser ] [ affero ] general public "
+    "license for more details",
+    "isc-disclaimer": "the software is provided as is and {3} disclaims all warranties with regard to this software including "
+    "all implied warranties of merchantability and fitness in no event shall {6} be liable for any special direct indirect "
+    "or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of "
+    "contract negligence or other tortious action arising out of or in connection with the use or performance of this "
+    "software",
     "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
     "granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-header": "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+    "license as published by the free software foundation either version {2} of the license or at your option any later "
+    "version",
     "mit-notice": "released under the mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
     "documentation files the software to deal in the software without restriction including without limitation the rights "
@@ -57,6 +84,15 @@ TEMPLATES = {
     "the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {12} be "
     "liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out "
     "of or in connection with the software or the use or other dealings in the software",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl "
+    "was not distributed with this file you can obtain one at [ http ] [ https ] mozilla org mpl 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish "
+    "use compile sell or distribute this software either in source code form or as a compiled binary for any purpose "
+    "commercial or non commercial and by any means",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held "
+    "liable for any damages arising from the use of this software permission is granted to anyone to use this software for "
+    "any purpose including commercial applications and to alter it and redistribute it freely subject to the following "
+    "restrictions",
 }
 
 
@@ -133,10 +169,12 @@ def phrase_places(joined: bytes, phrases: dict[str, str]) -> dict[str, list[int]
     places: dict[str, list[int]] = {}
     for phrase, label in phrases.items():
         needle = f" {phrase} ".encode()
-        at = joined.find(needle)
+        at, counted, place = joined.find(needle), 0, 0
         while at >= 0:
-            places.setdefault(label, []).append(joined.count(b" ", 0, at))
-            at = joined.find(needle, at + 1)
+            # Only the words since the last place are counted, so that many places cost no more than one reading.
+            place += joined.count(b" ", counted, at)
+            places.setdefault(label, []).append(place)
+            counted, at = at, joined.find(needle, at + 1)
     return places
 
 
@@ -219,7 +257,7 @@ def scan_licenses(
     """Base phrases, template matches (words, end exclusive), labels and a score per row of ``docs``.
 
     The score is 1 where a template accepts, 0.5 where only a base phrase stands, else
-    0.  Null and empty texts have no words and no labels.  Repeated rows and
+    0.  Null and empty texts have no words and no labels; very long ones are read whole.  Repeated rows and
     null ids are returned as they are, other columns are not read, and an
     empty table gives an empty result.
     """

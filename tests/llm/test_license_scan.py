@@ -37,6 +37,35 @@ def test_phrases_that_share_words():
     assert sorted(p for x in places.values() for p in x) == [0, 2, 4, 6, 8]
 
 
+def test_notices_as_they_are_written():
+    written = {
+        "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+        "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "lgpl-header": "Frob is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any "
+        "later version.",
+        "agpl-header": "Frob is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version.",
+        "gpl-warranty": "It is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+        "bsd-third-clause": "3. Neither the name of the Example University nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.",
+        "cc0-waiver": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and "
+        "related or neighboring rights to this work.",
+        "cc-by-text": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    }
+    compiled = L.automata(tuple(L.TEMPLATES.items()))
+    for label, text in written.items():
+        found = {x[0] for x in L.template_matches([w.encode() for w in words(text)], compiled)}
+        assert found == {label}, label
+
+
+def test_many_places_of_a_phrase():
+    joined = " ".join(["mit license é"] * 50_000)
+    assert L.phrase_places(f" {joined} ".encode(), PHRASES) == {"mit": list(range(0, 150_000, 3))}
+
+
 def accepts(template, text):
     a = L.TokenAutomaton(template)
     return a.longest([x.encode() for x in text.split()], 0)
