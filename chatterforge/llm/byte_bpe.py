@@ -107,7 +107,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ``ids``, ``starts`` and ``ends`` are little-endian unsigned 32-bit arrays; the
     latter two are code-point places.  ``decoded_sha256`` is that of the bytes that
-    decoding the ids gives.  Null texts count as empty and have no tokens; repeated
+    decoding the ids gives.  Null texts count as empty and have no tokens; a very long text is encoded
+    whole, as tokens may not be cut at a border, so a task holds its tokens at once; repeated
     rows and null ids are returned as they are; an empty table gives an empty
     result; other columns are not read.  Special tokens' strings are ordinary text.
     """

@@ -255,7 +255,8 @@ def dedup_paragraphs(
 
     ``removed`` lists line:id:line of each removed paragraph and of the paragraph that
     stays for it.  Shorter lines are never removed.  A null text counts as empty, with
-    one empty line.  Rows equal in id and text are one document and get the same
+    one empty line.  A very long text is cut into its lines in one task; a very long line is one paragraph, whose
+    shingles are hashed in blocks.  Rows equal in id and text are one document and get the same
     result; a null id sorts first.  Other columns are not read; an empty table gives an
     empty result.
     """

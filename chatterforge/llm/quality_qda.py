@@ -195,7 +195,7 @@ def score_quality(
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    Null and empty texts are scored from their (all zero) counts.  Repeated rows are
+    Null and empty texts are scored from their (all zero) counts, very long ones from counts of the whole text.  Repeated rows are
     returned as they are; a null id is held out.  Label rows with a null id or a
     label other than 0 and 1 are not used; repeated ones count each time.  Without
     usable labels every score is 0.5.  An empty table gives an empty result.
@@ -222,7 +222,7 @@ def keep_quality(
     """The rows of ``docs`` that :func:`score_quality` does not reject, all columns as they are.
 
     Only the statistics move for the fit; the verdict on a text is made where the
-    text is read.
+    text is read, so null, empty, very long and repeated texts and null ids are treated as there.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~in_fold(F.col(id_col).cast("bigint")))
     wanted = known.select(F.col(id_col).cast("bigint").alias("doc_id")).distinct()

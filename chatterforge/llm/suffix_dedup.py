@@ -422,7 +422,8 @@ def remove_repeats(
     ``removed`` holds start, stop, start, stop ... in bytes.  Null texts count as empty.
     Rows equal in id and text are one document, and each gets its result; rows
     that repeat an id with another text follow in the order of their digests.  A null
-    id sorts before all others.  Other columns are not read; an empty table gives
+    id sorts before all others.  A very long text is one row that is read whole; its suffixes are
+    dealt to shards like those of others.  Other columns are not read; an empty table gives
     an empty result.  ``width`` is at most 255 and larger than ``gram``.
     """
     if not 1 < gram < width <= 255:
