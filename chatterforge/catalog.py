@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from chatterforge.functions import text as T
 from chatterforge.operators import audit, profiling, style
 from chatterforge.operators.identity import collect_participants, label_messages, matches
-from chatterforge.operators.masking import masked_spans
+from chatterforge.operators.masking import masked_spans, masking_problems
 from chatterforge.operators.quality import FilterConfig, classify, filter_messages, filter_report
-from chatterforge.operators.sharegpt import answers, conversations, describe_problem, overlap, split_sample
+from chatterforge.operators.sharegpt import answers, assistant_messages, conversations, describe_problem, overlap, split_sample, to_chat_messages
 from chatterforge.operators.splits import drop_duplicate_samples, split_sessions, split_summary
+from chatterforge.operators.style import pair_predictions
 from chatterforge.operators.turns import aggregate_turns, known_time_sessions, sessionize
 from chatterforge.operators.validation import message_violations
 from chatterforge.operators.windows import SESSION, build_windows, trim_history, usable_sessions
-from chatterforge.runtime import materialize
+from chatterforge.runtime import materialize, number_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -479,6 +480,50 @@ def masked_answers(spark, sf_dir):
     return spans.select("conv_id", (F.col("i") + 1).cast("bigint").alias("span_no"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
+@query(
+    f"""WITH {_WHOLE}, r AS (SELECT conv_id, string_split(array_to_string(list_transform(c, lambda t: '<' || t.f || '>' || t.v), ''), '<gpt>') AS s,
+  list_reverse(list_filter(list_transform(list_filter(c, lambda t: t.f = 'gpt'), lambda t: t.v), lambda v: length(v) >= 300)) AS a FROM whole),
+k AS (SELECT conv_id, a, list_transform(range(2, len(s) + 1), lambda i: string_split(array_to_string(s[i:], '<gpt>'), '<human>')[1]) AS spans FROM r)
+SELECT conv_id, CASE WHEN len(spans) <> len(a) THEN len(spans) || ' stretches keep loss, but there are ' || len(a) || ' answers'
+  WHEN len(list_filter(range(1, len(a) + 1), lambda i: NOT (trim(a[i]) = '' OR contains(spans[i], a[i])))) > 0 THEN 'an answer lies outside the stretch that keeps loss' END AS problem FROM k"""
+)
+def masking_checks(spark, sf_dir):
+    """Answers in the wrong order, and without short ones: what the check of the masking says of them."""
+    rendered = F.array_join(F.transform("conversations", lambda t: F.concat(F.lit("<"), t["from"], F.lit(">"), t["value"])), "")
+    given = F.reverse(F.filter(answers("conversations"), lambda a: F.length(a) >= 300))
+    chats = samples(spark, sf_dir).select("conv_id", rendered.alias("rendered"), given.alias("answers"))
+    return masking_problems(chats, "<human>", "<gpt>").select("conv_id", "problem")
+
+
+@query(
+    f"""WITH {_WHOLE} SELECT conv_id, generate_subscripts(c, 1) - 1 AS message_no,
+  CASE unnest(c).f WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE 'system' END AS role, unnest(c).v AS content FROM whole"""
+)
+def chat_messages(spark, sf_dir):
+    said = samples(spark, sf_dir).select("conv_id", F.posexplode(to_chat_messages("conversations")).alias("i", "m"))
+    return said.select("conv_id", F.col("i").cast("bigint").alias("message_no"), "m.role", "m.content")
+
+
+@query(f"WITH {_WHOLE} SELECT conv_id, generate_subscripts(a, 1) - 1 AS answer_no, unnest(a).v AS text FROM (SELECT conv_id, list_filter(c, lambda t: t.f = 'gpt') AS a FROM whole)")
+def assistant_texts(spark, sf_dir):
+    """The answers once more, read from role and content messages."""
+    said = samples(spark, sf_dir).select("conv_id", to_chat_messages("conversations").alias("messages"))
+    found = said.select("conv_id", F.posexplode(assistant_messages("messages")).alias("i", "text"))
+    return found.select("conv_id", F.col("i").cast("bigint").alias("answer_no"), "text")
+
+
+@query(
+    """WITH n AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS resp_id, text FROM conversations),
+r AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS resp_id, text FROM conversations WHERE role = 'assistant')
+SELECT 'reference' AS corpus, resp_id, text FROM r UNION ALL SELECT 'all turns', resp_id, text FROM n WHERE resp_id < (SELECT count(*) FROM r)"""
+)
+def predictions_paired(spark, sf_dir):
+    """All turns as predictions for the answers, paired by their number; those beyond the last answer are left out."""
+    said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    references = number_rows(said.where("role = 'assistant'"), ["conv_id", "turn"], "ordinal")
+    return pair_predictions(references, number_rows(said, ["conv_id", "turn"], "ordinal"), "all turns")
+
+
 # ---- speakers ------------------------------------------------------------------------------------
 
 

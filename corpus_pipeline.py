@@ -14,28 +14,47 @@ from chatterforge.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are scored by their (all zero) counts, very long ones by counts of the whole text;
+    repeated rows and rows without an id are judged by their texts, and other columns pass through.
+    """
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs across documents go, but for their first occurrence; equal texts stay equal."""
+    """Lines whose template recurs across documents go, but for their first occurrence; equal texts stay equal.
+
+    Null and empty texts hold no line that goes; very long ones are split whole.  Repeated rows are treated
+    alike, rows without an id come first, and of other columns only the text changes.
+    """
     kept = dedup_lines(docs, copies=EXACT).drop("dropped_lines")
     return kept.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
+    """Of each group of near copies, the document with the smallest id stays.
+
+    Null and empty texts are copies of each other; very long ones are compared whole.  Rows equal in id and
+    text are one document, rows that share an id but not the text are told apart, and rows without an id all stay.
+    """
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none and stay; very long ones are searched whole; repeated rows stay or go together.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and offsets of what is left, with digests of the ids and of the decoded bytes."""
+    """Token ids and offsets of what is left, with digests of the ids and of the decoded bytes.
+
+    Null and empty texts have no tokens; very long ones are encoded whole; each row gives one row.  An empty
+    table gives an empty result, here and in all stages before.
+    """
     return encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
