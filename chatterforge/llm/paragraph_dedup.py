@@ -50,65 +50,132 @@ BROADCAST_DOCS = 1_000_000
 BROADCAST_BUCKETS = 2_000_000
 #: Bytes of either, as JSON: joins with these lists would otherwise move every band of every paragraph.
 BROADCAST_BYTES = 64 << 20
-#: Shingles hashed together.
-BLOCK = 4096
-
-
-def shingles(words: list[bytes], size: int) -> np.ndarray:
+#: Bytes of paragraphs that are hashed together.
+BLOCK = 1 << 19
+
+
+@lru_cache(maxsize=1)
+def _byte_codes() -> np.ndarray:
+    """A random number for each byte; the space that stands between words counts nothing."""
+    codes = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, 256, np.uint64)
+    codes[32] = 0
+    return codes
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text of words with one space between: a polynomial of its bytes, mixed."""
+    data = np.frombuffer(text, np.uint8)
+    starts = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
+    lengths = np.diff(starts, append=len(data) + 1)
+    place = np.arange(len(data)) - np.repeat(starts, lengths)[: len(data)]
+    powers = np.cumprod(np.full(lengths.max(), 0x5851F42D4C957F2D, np.uint64))
+    found = np.add.reduceat(_byte_codes()[data] * powers[place], starts)
+    found ^= found >> np.uint64(32)
+    found *= np.uint64(0xFF51AFD7ED558CCD)
+    return found ^ found >> np.uint64(29)
+
+
+def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` word hashes, as a polynomial of them."""
+    n = len(codes) - size + 1
+    found = codes[:n].copy()
+    for i in range(1, size):
+        found *= np.uint64(0x9E3779B97F4A7C15)
+        found += codes[i : n + i]
+    found ^= found >> np.uint64(32)
+    found *= np.uint64(0xD6E8FEB86659FD93)
+    return found ^ found >> np.uint64(32)
+
+
+def shingles(text: bytes, size: int) -> np.ndarray:
     """The distinct 64-bit hashes of a paragraph's shingles, sorted."""
-    import xxhash
-
-    grams = map(b" ".join, zip(*(words[i:] for i in range(size))))
-    return np.unique(np.array(list(map(xxhash.xxh64_intdigest, grams)), np.uint64))
+    return np.unique(gram_hashes(word_hashes(text), size))
 
 
 @lru_cache(maxsize=4)
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(SEED))
-    return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+    return rng.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
-def band_hashes(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One value for each band, with the band's number above it; equal minima give equal values."""
-    factor, shift = _permutations(bands * rows)
-    least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
-    for start in range(0, len(hashes), BLOCK):
-        part = hashes[start : start + BLOCK]
-        least = np.minimum(least, (part[:, None] * factor + shift).min(0))
-    least = (least ^ (least >> np.uint64(32))).reshape(bands, rows)
-    mixed = np.zeros(bands, np.uint64)
-    for r in range(rows):
-        mixed = (mixed ^ least[:, r]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
+def band_values(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For the set of hashes from each start to the next, one value for each band, with the band's number above it.
+
+    Equal minima give equal values; a minimum has 32 bits.
+    """
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    moved, mixed = np.empty_like(short), np.zeros((len(starts), bands), np.uint64)
+    for i, (factor, shift) in enumerate(zip(*_permutations(bands * rows))):
+        np.multiply(short, factor, out=moved)
+        np.add(moved, shift, out=moved)
+        band = mixed[:, i // rows]
+        band ^= np.minimum.reduceat(moved, starts)
+        band *= np.uint64(0x9E3779B97F4A7C15)
+        band ^= band >> np.uint64(29)
     bits = np.uint64(8 * VALUE)
-    return (mixed >> (np.uint64(64) - bits) | np.arange(bands, dtype=np.uint64) << bits).view(np.int64).tolist()
+    return (mixed >> (np.uint64(64) - bits) | np.arange(bands, dtype=np.uint64) << bits).view(np.int64)
 
 
-def paragraphs(text: bytes, size: int) -> Iterator[tuple[int, bytes, list[bytes]]]:
-    """(line number, digest, words) of each paragraph."""
+def band_hashes(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """The values of one set."""
+    return band_values(hashes, np.zeros(1, np.int64), bands, rows)[0].tolist()
+
+
+def signatures(texts: list[bytes], size: int, bands: int, rows: int) -> list[bytes]:
+    """The number of distinct shingles and the packed band values of each paragraph."""
+    lengths = np.array([t.count(b" ") + 1 for t in texts])
+    ends = np.cumsum(lengths)
+    grams = gram_hashes(word_hashes(b" ".join(texts)), size)
+    # Shingles that would reach from one paragraph into the next are none.
+    whole = np.ones(len(grams) + size - 1, bool)
+    for back in range(1, size):
+        whole[ends - back] = False
+    grams = grams[whole[: len(grams)]]
+    counts = lengths - size + 1
+    starts = np.cumsum(counts) - counts
+    owners = np.repeat(np.arange(len(texts)), counts)
+    order = np.lexsort((grams, owners))
+    grams, fresh = grams[order], np.ones(len(grams), np.uint32)
+    fresh[1:] = (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1])
+    sizes = np.add.reduceat(fresh, starts, dtype="<u4")
+    values = band_values(grams, starts, bands, rows).astype("<i8").view(np.uint8).reshape(len(texts), bands, 8)
+    signed = np.hstack([sizes.view(np.uint8).reshape(-1, 4), values[:, :, :VALUE].reshape(len(texts), -1)])
+    return [row.tobytes() for row in signed]
+
+
+def paragraphs(text: bytes, size: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(line number, digest, words with one space between) of each paragraph."""
     for number, line in enumerate(text.split(b"\n")):
         words = alnum_words(line)
         if len(words) >= size:
-            yield number, hashlib.blake2b(b" ".join(words), digest_size=16).digest(), words
-
-
-def pack(values: list[int]) -> bytes:
-    """Band values without their numbers."""
-    return np.array(values, "<i8").view(np.uint8).reshape(-1, 8)[:, :VALUE].tobytes()
+            joined = b" ".join(words)
+            yield number, hashlib.blake2b(joined, digest_size=16).digest(), joined
 
 
 def _paragraph_batches(size: int, bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[bytes, bytes] = {}
-            columns: list[list] = [[] for _ in range(5)]
+            signed: dict[bytes, bytes] = {}
+            waiting: dict[bytes, bytes] = {}
+            columns: list[list] = [[] for _ in range(4)]
+
+            def sign() -> None:
+                signed.update(zip(waiting, signatures(list(waiting.values()), size, bands, rows) if waiting else ()))
+                waiting.clear()
+
+            held = 0
             for doc, digest, text in zip(batch["doc_id"].to_pylist(), batch["digest"].to_pylist(), utf8(batch["text"])):
                 for number, key, words in paragraphs(text, size):
-                    if key not in known:
-                        grams = shingles(words, size)
-                        known[key] = np.uint32(len(grams)).tobytes() + pack(band_hashes(grams, bands, rows))
-                    for column, value in zip(columns, (doc, digest, number, key, known[key])):
+                    if key not in signed and key not in waiting:
+                        waiting[key] = words
+                        held += len(words)
+                    for column, value in zip(columns, (doc, digest, number, key)):
                         column.append(value)
+                    if held >= BLOCK:
+                        sign()
+                        held = 0
+            sign()
+            columns.append([signed[key] for key in columns[3]])
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "digest", "line", "key", "sig"])
 
@@ -256,7 +323,7 @@ def dedup_paragraphs(
     ``removed`` lists line:id:line of each removed paragraph and of the paragraph that
     stays for it.  Shorter lines are never removed.  A null text counts as empty, with
     one empty line.  A very long text is cut into its lines in one task; a very long line is one paragraph, whose
-    shingles are hashed in blocks.  Rows equal in id and text are one document and get the same
+    shingles are hashed at once (about 40 bytes for one of its own).  Rows equal in id and text are one document and get the same
     result; a null id sorts first.  Other columns are not read; an empty table gives an
     empty result.
     """
