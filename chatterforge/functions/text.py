@@ -102,8 +102,10 @@ def mask_token(c: Column | str, token: str) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined runs of n consecutive tokens."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-    joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    joined = tokens
+    for k in range(2, n + 1):
+        left = F.size(tokens) - k + 1
+        joined = F.zip_with(F.slice(joined, 1, left), F.slice(tokens, k, left), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
 
 
