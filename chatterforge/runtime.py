@@ -1,8 +1,9 @@
-"""Session helpers: the shared checkpoint folder, and numbering rows without a single task."""
+"""Session helpers: the shared checkpoint folder, tables kept in it, and numbering rows without a single task."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """The path of a new folder for intermediate tables, in the shared checkpoint folder."""
+    return f"{shared_checkpoints(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables through the file system that its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def number_rows(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
     """``df`` with numbers from 0 in the given total order.
 
