@@ -187,6 +187,54 @@ SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _ENTITIES)}, s
   sha256(CASE WHEN last_end IS NULL THEN text ELSE pieces || substr(text, last_end + 1) END) AS sanitised_sha256 FROM docs LEFT JOIN found USING (doc_id)"""
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_FLOORED = "CASE WHEN n > 0 THEN (s - (((s % n) + n) % n)) // n ELSE old END"
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Exhaustive rounds: ``a`` tables are assignments, ``b`` tables codebooks with one row for each part and entry."""
+    assign = "{0} AS MATERIALIZED (SELECT r, p, arg_min(k, d * 256 + k) AS k, min(d) AS d FROM (SELECT x.r, x.p, b.k, list_sum(list_transform(range(1, len(x.v) + 1), "
+    assign += "lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i])))::BIGINT AS d FROM cut x JOIN {1} b ON b.p = x.p) GROUP BY r, p)"
+    move = f"""b{{1}} AS MATERIALIZED (SELECT p, k, list({_FLOORED} ORDER BY i) AS v FROM (
+  SELECT b.p, b.k, b.i, any_value(b.old) AS old, coalesce(sum(x.c), 0)::HUGEINT AS s, count(x.c) AS n
+  FROM (SELECT p, k, unnest(v) AS old, generate_subscripts(v, 1) AS i FROM b{{0}}) b
+  LEFT JOIN (SELECT a.p, a.k, unnest(x.v) AS c, generate_subscripts(x.v, 1) AS i FROM a{{0}} a JOIN cut x ON x.r = a.r AND x.p = a.p) x
+  ON x.p = b.p AND x.k = b.k AND x.i = b.i GROUP BY ALL) GROUP BY p, k)"""
+    steps = []
+    for n in range(rounds):
+        steps += [assign.format(f"a{n}", f"b{n}"), move.format(n, n + 1)]
+    steps.append(assign.format(f"a{rounds}", f"b{rounds}"))
+    return f"""
+WITH ok AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale}::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_FINITE}),
+kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r FROM ok),
+cut AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS k, v FROM cut WHERE r <= {entries}),
+{(',' + chr(10)).join(steps)},
+coded AS (SELECT r, string_agg(format('{{:02x}}', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (r), book"""
+
+
+def centroids(dim: int = 64, k: int = 16, rounds: int = 3, scale: int = 64, seed: str = "1:") -> str:
+    assign = "{0} AS MATERIALIZED (SELECT r, arg_min(k, d * 256 + k) AS k, min(d) AS d FROM (SELECT x.r, b.k, list_sum(list_transform(range(1, " + str(dim + 1) + "), "
+    assign += "lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i])))::BIGINT AS d FROM kept x, {1} b) GROUP BY r)"
+    move = f"""b{{1}} AS MATERIALIZED (SELECT k, list({_FLOORED} ORDER BY i) AS v FROM (
+  SELECT b.k, b.i, any_value(b.old) AS old, coalesce(sum(x.c), 0)::HUGEINT AS s, count(x.c) AS n
+  FROM (SELECT k, unnest(v) AS old, generate_subscripts(v, 1) AS i FROM b{{0}}) b
+  LEFT JOIN (SELECT a.k, unnest(x.v) AS c, generate_subscripts(x.v, 1) AS i FROM a{{0}} a JOIN kept x USING (r)) x ON x.k = b.k AND x.i = b.i GROUP BY ALL) GROUP BY k)"""
+    steps = []
+    for n in range(rounds):
+        steps += [assign.format(f"a{n}", f"b{n}"), move.format(n, n + 1)]
+    steps.append(assign.format(f"a{rounds}", f"b{rounds}"))
+    return f"""
+WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale}::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {dim} AND {_FINITE}),
+kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sha256('{seed}' || vec_id) NULLS LAST, v) AS r FROM ok),
+b0 AS MATERIALIZED (SELECT r - 1 AS k, v FROM kept WHERE r <= {k}),
+{(',' + chr(10)).join(steps)}
+SELECT vec_id, a.k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(b.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN kept USING (r) JOIN b{rounds} b ON b.k = a.k"""
+
+
 ORACLE_SQL = {
     "op1_bm25_topk": bm25(),
     "op2_paragraph_dedup": paragraph_dedup(),
@@ -195,4 +243,6 @@ ORACLE_SQL = {
     "op7_decontaminate": decontaminate(),
     "op8_license_scan": license_scan(),
     "op9_line_templates": line_templates(),
+    "op11_vector_codes": vector_codes(),
+    "op12_centroids": centroids(),
 }

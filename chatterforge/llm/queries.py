@@ -90,6 +90,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatterforge.llm.vector_codes import compress, with_label_error
+
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    found = with_label_error(coded).withColumn("codebooks_sha256", F.lit(books.digest()))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatterforge.llm.centroids import cluster, with_inertia
+
+    return with_inertia(*cluster(table(spark, sf_dir, "embeddings"))).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_topk": op1_bm25_topk,
     "op2_paragraph_dedup": op2_paragraph_dedup,
@@ -101,4 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_line_templates": op9_line_templates,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_centroids": op12_centroids,
 }

@@ -15,7 +15,7 @@ def compare(df, rows, columns):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found = con.sql(ORACLE_SQL[name])
     compare(QUERIES[name](spark, sf_dir), found.fetchall(), list(found.columns))
