@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from chatterforge.llm.license_scan import PHRASES, TEMPLATES
+from chatterforge.llm.secret_scan import BASE, RULES
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -235,6 +236,24 @@ SELECT vec_id, a.k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION B
   sha256(array_to_string(b.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN kept USING (r) JOIN b{rounds} b ON b.k = a.k"""
 
 
+def secret_scan() -> str:
+    """Every pattern over every text; rows are numbered, as ids may repeat."""
+    parts = []
+    for n, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        long_enough = f"length(regexp_extract(v, '{pattern}', {r.group})) >= {r.least}"
+        parts.append(f"SELECT doc_id, {n} AS k, '{r.kind}' AS kind, s, e FROM ({_spans_sql('numbered', pattern)}) WHERE {long_enough}")
+    counts = ", ".join(f"count_if(kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    kinds = ", ".join(f"'{r.kind}'" for r in BASE)
+    return f"""
+WITH numbered AS (SELECT row_number() OVER () AS doc_id, doc_id AS own, coalesce(text, '') AS text FROM documents),
+found AS ({' UNION ALL '.join(parts)}),
+told AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (kind IN ({kinds})) AS base,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM found GROUP BY 1)
+SELECT own AS doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM numbered LEFT JOIN told USING (doc_id)"""
+
+
 ORACLE_SQL = {
     "op1_bm25_topk": bm25(),
     "op2_paragraph_dedup": paragraph_dedup(),
@@ -245,4 +264,5 @@ ORACLE_SQL = {
     "op9_line_templates": line_templates(),
     "op11_vector_codes": vector_codes(),
     "op12_centroids": centroids(),
+    "op13_secret_scan": secret_scan(),
 }

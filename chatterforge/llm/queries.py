@@ -106,6 +106,12 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chatterforge.llm.secret_scan import find_secrets, secret_report
+
+    return secret_report(find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_topk": op1_bm25_topk,
     "op2_paragraph_dedup": op2_paragraph_dedup,
@@ -119,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_vector_codes": op11_vector_codes,
     "op12_centroids": op12_centroids,
+    "op13_secret_scan": op13_secret_scan,
 }
