@@ -83,7 +83,7 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns and sessions over range partitions, as a transcript is a quarter of all events."""
-    return sessionize(aggregate_turns(stream(spark, sf_dir), spread=True), spread=True)
+    return aggregate_turns(stream(spark, sf_dir), spread=True, session_gap_seconds=1800)
 
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,7 +543,7 @@ b AS (SELECT *, sum(CASE WHEN participant = 'other' THEN 1 ELSE 0 END) OVER (PAR
 SELECT transcript_id, pos, participant, session_id::BIGINT AS session_id FROM b WHERE participant <> 'other'"""
 )
 def others_drop_boundary(spark, sf_dir):
-    return label_messages(records(spark, sf_dir), "4", "8", "drop").select("transcript_id", "pos", "participant", "session_id")
+    return label_messages(records(spark, sf_dir), "4", "8", "drop", spread=True).select("transcript_id", "pos", "participant", "session_id")
 
 
 @query(
@@ -556,7 +556,7 @@ def violations(spark, sf_dir):
     messages = stream(spark, sf_dir)
     back = F.timestamp_micros(F.col("pos") - (F.col("id").cast("bigint") % 7) * 60_000_000)
     messages = messages.withColumn("timestamp", back.cast("string")).withColumn("id", (F.col("id").cast("bigint") % 9000).cast("string"))
-    return message_violations(messages).select("transcript_id", "pos", "code")
+    return message_violations(messages, spread=True).select("transcript_id", "pos", "code")
 
 
 @query(

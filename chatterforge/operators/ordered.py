@@ -1,13 +1,15 @@
-"""Values of the row before and running sums, by window or spread over range partitions.
+"""Scans of ordered rows: the row before, running counts, the last known value; by window or spread over range partitions.
 
-By window, the rows of a transcript meet in one task, with one shuffle.  Spread, the
-table is sorted once over range partitions, so that a transcript of any size is dealt
-over many tasks; what crosses from one partition to the next is one row for each
-partition at most.
+By window, the rows of a transcript meet in one task.  Spread, the table is dealt over range partitions of
+transcript and place, so that a transcript of any size is looked at in many tasks.  Each part is scanned by itself;
+what a part begins with follows from one row for each part before it, and is joined as a table of at
+most one row for each part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,50 +18,57 @@ from chatterforge.runtime import materialize
 PART = "__part"
 
 
-def placed(df: DataFrame, key: str, order: str, spread: bool) -> DataFrame:
-    """``df`` with the partition that each row is looked at in."""
-    if not spread:
-        return df.withColumn(PART, F.lit(0))
-    return materialize(df.orderBy(key, order).withColumn(PART, F.spark_partition_id()))
-
-
-def _carried(df: DataFrame, key: str, order: str, last: Column, spread: bool) -> DataFrame | None:
-    """key, part and ``before``: what the partitions before the part end with; only keys that span parts."""
-    if not spread:
-        return None
-    edges = df.groupBy(key, PART).agg(last.alias("last"))
-    several = Window.partitionBy(key).orderBy(PART)
-    before = edges.withColumn("before", F.lag("last").over(several)).where("before is not null")
-    return before.select(F.col(key).alias("__key"), F.col(PART).alias("__at"), "before")
-
-
-def _met(df: DataFrame, carried: DataFrame | None, key: str) -> DataFrame:
-    if carried is None:
-        return df
-    # One row for each partition at most, as a key spans parts only where it crosses an edge.
-    return df.join(F.broadcast(carried), df[key].eqNullSafe(carried["__key"]) & (df[PART] == carried["__at"]), "left").drop("__key", "__at")
-
-
-def with_previous(df: DataFrame, key: str, order: str, columns: list[str], spread: bool) -> DataFrame:
-    """``df`` with ``previous``: the named columns of the row before in the same key, null for the first.
-
-    ``df`` comes from :func:`placed`.
+def scan(
+    df: DataFrame,
+    key: str,
+    order: str,
+    columns: Sequence[str] = (),
+    counts: dict[str, Callable[[Column, Column], Column]] | None = None,
+    known: Sequence[str] = (),
+    spread: bool = False,
+) -> DataFrame:
+    """``df`` with what a pass over each key's rows in their order gathers.
+
+    ``previous`` is a struct of ``columns`` of the row before, null for the first.  ``counts`` names running sums, the
+    row itself included, of a number that is made from the row and the row before (both as structs).
+    ``known_<c>`` is the last value of a column in ``known`` that is not null, in the rows before.
     """
-    row = F.struct(*columns)
-    carried = _carried(df, key, order, F.max_by(row, order), spread)
-    local = F.lag(row).over(Window.partitionBy(PART, key).orderBy(order))
-    found = _met(df.withColumn("previous", local), carried, key)
-    return found if carried is None else found.withColumn("previous", F.coalesce("previous", "before")).drop("before")
-
-
-def with_running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, spread: bool) -> DataFrame:
-    """``df`` with the sum of ``value`` over the key's rows up to each row."""
-    df = df.withColumn("__value", value)
-    order_in = Window.partitionBy(PART, key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.withColumn(name, F.sum("__value").over(order_in))
+    counts = counts or {}
     if spread:
-        parts = df.groupBy(key, PART).agg(F.sum("__value").alias("n"))
-        before = F.sum("n").over(Window.partitionBy(key).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
-        carried = parts.withColumn("before", before).where("before is not null").select(F.col(key).alias("__key"), F.col(PART).alias("__at"), "before")
-        summed = _met(summed, carried, key).withColumn(name, F.col(name) + F.coalesce("before", F.lit(0))).drop("before")
-    return summed.drop("__value")
+        df = df.repartitionByRange(key, order).withColumn(PART, F.spark_partition_id())
+    else:
+        df = df.withColumn(PART, F.lit(0))
+    place = Window.partitionBy(PART, key).orderBy(order)
+    upto, above = place.rowsBetween(Window.unboundedPreceding, 0), place.rowsBetween(Window.unboundedPreceding, -1)
+    local = df.withColumn("__row", F.struct(*columns) if columns else F.struct(order))
+    local = local.withColumn("previous", F.lag("__row").over(place))
+    local = local.withColumns({n: F.sum(f(F.col("__row"), F.col("previous")).cast("bigint")).over(upto) for n, f in counts.items()})
+    local = local.withColumns({f"known_{c}": F.last(c, ignorenulls=True).over(above) for c in known})
+    if not spread:
+        return local.drop("__row", PART)
+    local = materialize(local)
+    carried = _carried(local, key, order, counts, known)
+    # One row for each part at most: only the first key of a part can have begun in another one.
+    met = local.join(F.broadcast(carried), local[key].eqNullSafe(carried["__key"]) & (local[PART] == carried["__at"]), "left")
+    met = met.withColumn("previous", F.coalesce("previous", "__before"))
+    met = met.withColumns({n: F.col(n) + F.coalesce(f"__{n}", F.lit(0)) for n in counts})
+    met = met.withColumns({f"known_{c}": F.coalesce(f"known_{c}", f"__known_{c}") for c in known})
+    return met.drop("__row", PART, *carried.columns)
+
+
+def _carried(local: DataFrame, key: str, order: str, counts: dict[str, Callable[[Column, Column], Column]], known: Sequence[str]) -> DataFrame:
+    """What each part of a key that began in an earlier part starts from."""
+    last_known = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"known_{c}") for c in known]
+    totals = [F.max_by(n, order).alias(n) for n in counts]
+    edges = local.groupBy(key, PART).agg(F.min_by("__row", order).alias("first"), F.max_by("__row", order).alias("last"), *totals, *last_known)
+    parts = Window.partitionBy(key).orderBy(PART)
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("before", F.lag("last").over(parts))
+    found = [F.col(key).alias("__key"), F.col(PART).alias("__at"), F.col("before").alias("__before")]
+    for name, f in counts.items():
+        # The first row of a part was counted as if nothing stood before it.
+        alone = f(F.col("first"), F.when(F.lit(False), F.col("first")))
+        mended = F.when(F.col("before").isNotNull(), (f(F.col("first"), F.col("before")) - alone).cast("bigint")).otherwise(0)
+        found.append((F.coalesce(F.sum(F.col(name) + mended).over(earlier), F.lit(0)) + mended).alias(f"__{name}"))
+    found += [F.last(f"known_{c}", ignorenulls=True).over(earlier).alias(f"__known_{c}") for c in known]
+    return edges.select(*found).where("__before is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterforge.functions import text as T
-from chatterforge.operators.ordered import PART, placed, with_previous, with_running_sum
+from chatterforge.operators.ordered import scan
 
 SELF, TARGET, OTHER = "self", "target", "other"
 # The spellings of a participant, and the older role names.
@@ -71,10 +71,48 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return later.cast("double") - earlier.cast("double")
 
 
+def _starts_turn(gap_seconds: float, merge_unknown_timestamps: bool):
+    """1 where a message does not go on with the turn of the message before."""
+
+    def starts(row: Column, last: Column) -> Column:
+        close = F.coalesce(seconds_between(row["ts"], last["ts"]) <= gap_seconds, F.lit(False))
+        if merge_unknown_timestamps:
+            close = close | (row["ts"].isNull() & last["ts"].isNull())
+        same = (
+            row["channel_id"].eqNullSafe(last["channel_id"])
+            & row["source_session"].eqNullSafe(last["source_session"])
+            & (row["participant"] == last["participant"])
+            & (row["author_id"] == last["author_id"])
+        )
+        return F.when(last.isNotNull() & F.coalesce(same & close, F.lit(False)), 0).otherwise(1)
+
+    return starts
+
+
+def _starts_session(gap_seconds: float, end: str = "ts"):
+    """1 where what follows the row before is another session."""
+
+    def starts(row: Column, last: Column) -> Column:
+        new = (
+            last.isNull()
+            | ~row["channel_id"].eqNullSafe(last["channel_id"])
+            | ~row["source_session"].eqNullSafe(last["source_session"])
+            | (row["ts"].isNull() != last[end].isNull())
+            | F.coalesce(seconds_between(row["ts"], last[end]) > gap_seconds, F.lit(False))
+        )
+        return F.when(new, 1).otherwise(0)
+
+    return starts
+
+
 def message_turns(
-    messages: DataFrame, turn_gap_seconds: float = 300, merge_unknown_timestamps: bool = False, spread: bool = False
+    messages: DataFrame,
+    turn_gap_seconds: float = 300,
+    merge_unknown_timestamps: bool = False,
+    spread: bool = False,
+    session_gap_seconds: float | None = None,
 ) -> DataFrame:
-    """Prepared messages with their ``turn_no``, from 0 in each transcript.
+    """Prepared messages with their ``turn_no``, from 0 in each transcript, and ``session_id`` where a session gap is given.
 
     A message goes on with the turn before it if channel, session, speaker and
     author are the same and it came within the gap of the previous message.
@@ -83,30 +121,33 @@ def message_turns(
     """
     if turn_gap_seconds < 1:
         raise ValueError("turn_gap_seconds must be at least 1")
-    rows = placed(prepared(messages), "transcript_id", "pos", spread)
-    rows = with_previous(rows, "transcript_id", "pos", ["ts", "channel_id", "source_session", "participant", "author_id"], spread)
-    last = F.col("previous")
-    close = F.coalesce(seconds_between(F.col("ts"), last["ts"]) <= turn_gap_seconds, F.lit(False))
-    if merge_unknown_timestamps:
-        close = close | (F.col("ts").isNull() & last["ts"].isNull())
-    same = (
-        F.col("channel_id").eqNullSafe(last["channel_id"])
-        & F.col("source_session").eqNullSafe(last["source_session"])
-        & (F.col("participant") == last["participant"])
-        & (F.col("author_id") == last["author_id"])
-    )
-    goes_on = last.isNotNull() & F.coalesce(same & close, F.lit(False))
-    numbered = with_running_sum(rows, "transcript_id", "pos", F.when(goes_on, 0).otherwise(1), "turn_no", spread)
-    return numbered.withColumn("turn_no", F.col("turn_no") - 1).drop("previous", PART)
+    if session_gap_seconds is not None and session_gap_seconds < 1:
+        raise ValueError("session_gap_seconds must be at least 1")
+    turn = _starts_turn(turn_gap_seconds, merge_unknown_timestamps)
+    counts = {"turn_no": turn}
+    if session_gap_seconds is not None:
+        session = _starts_session(session_gap_seconds)
+        # A turn ends with the message before, so its end is that message's time.
+        counts["session_id"] = lambda row, last: turn(row, last) * session(row, last)
+    columns = ["ts", "channel_id", "source_session", "participant", "author_id"]
+    numbered = scan(prepared(messages), "transcript_id", "pos", columns, counts, spread=spread)
+    return numbered.withColumns({n: F.col(n) - 1 for n in counts}).drop("previous")
 
 
 def aggregate_turns(
-    messages: DataFrame, turn_gap_seconds: float = 300, merge_unknown_timestamps: bool = False, spread: bool = False
+    messages: DataFrame,
+    turn_gap_seconds: float = 300,
+    merge_unknown_timestamps: bool = False,
+    spread: bool = False,
+    session_gap_seconds: float | None = None,
 ) -> DataFrame:
-    """One row per turn: text joined by line ends, source ids, first and last time."""
-    rows = message_turns(messages, turn_gap_seconds, merge_unknown_timestamps, spread)
+    """One row per turn: text joined by line ends, source ids, first and last time.
+
+    With a session gap, ``session_id`` comes from the same scan, as :func:`sessionize` would give it.
+    """
+    rows = message_turns(messages, turn_gap_seconds, merge_unknown_timestamps, spread, session_gap_seconds)
     parts = F.array_sort(F.collect_list(F.struct("pos", "content", "source_id", "ts")))
-    fixed = ["participant", "author_id", "author_label", "channel_id", "source_session"]
+    fixed = ["participant", "author_id", "author_label", "channel_id", "source_session"] + ["session_id"] * (session_gap_seconds is not None)
     turns = rows.groupBy("transcript_id", "turn_no").agg(parts.alias("parts"), *[F.min_by(c, "pos").alias(c) for c in fixed])
     return turns.select(
         "transcript_id",
@@ -122,6 +163,7 @@ def aggregate_turns(
         F.element_at("parts", 1)["ts"].alias("ts"),
         F.element_at("parts", -1)["ts"].alias("end_ts"),
         F.element_at("parts", 1)["pos"].alias("pos"),
+        *fixed[5:],
     )
 
 
@@ -133,18 +175,9 @@ def sessionize(turns: DataFrame, session_gap_seconds: float = 1800, spread: bool
     """
     if session_gap_seconds < 1:
         raise ValueError("session_gap_seconds must be at least 1")
-    rows = placed(turns, "transcript_id", "turn_no", spread)
-    rows = with_previous(rows, "transcript_id", "turn_no", ["end_ts", "channel_id", "source_session"], spread)
-    last = F.col("previous")
-    new = (
-        last.isNull()
-        | ~F.col("channel_id").eqNullSafe(last["channel_id"])
-        | ~F.col("source_session").eqNullSafe(last["source_session"])
-        | (F.col("ts").isNull() != last["end_ts"].isNull())
-        | F.coalesce(seconds_between(F.col("ts"), last["end_ts"]) > session_gap_seconds, F.lit(False))
-    )
-    counted = with_running_sum(rows, "transcript_id", "turn_no", F.when(new, 1).otherwise(0), "session_id", spread)
-    return counted.withColumn("session_id", F.col("session_id") - 1).drop("previous", PART)
+    columns = ["ts", "end_ts", "channel_id", "source_session"]
+    counted = scan(turns, "transcript_id", "turn_no", columns, {"session_id": _starts_session(session_gap_seconds, "end_ts")}, spread=spread)
+    return counted.withColumn("session_id", F.col("session_id") - 1).drop("previous")
 
 
 def known_time_sessions(events: DataFrame, keys: list[str], ts: str, gap_seconds: int = 1800) -> DataFrame:

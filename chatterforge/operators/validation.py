@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatterforge.functions import text as T
-from chatterforge.operators.turns import participant_of, prepared
+from chatterforge.operators.ordered import scan
+from chatterforge.operators.turns import literal_map, participant_of, prepared
 
 
-def message_violations(messages: DataFrame) -> DataFrame:
+# The codes of bad messages, and what an error says of them.
+SAYS = {
+    "no_author": "text without an author id or name",
+    "bad_attachments": "attachments are no list",
+    "unknown_participant": "the speaker is none of self, target and other",
+    "duplicate_id": "this message id stands above already",
+    "order": "this message is older than one above it",
+}
+
+
+def message_violations(messages: DataFrame, spread: bool = False) -> DataFrame:
     """``transcript_id, pos, code, detail`` of unknown participants, repeated ids and times that go back.
 
-    Blank messages are not looked at.
+    A time goes back where it is before the last known one above.  Where the table has a ``violation`` of
+    :func:`~chatterforge.operators.identity.normalize_messages`, it is listed, too; records that have no
+    speakers yet are not asked for them.  Blank messages are not looked at.  With ``spread`` one transcript, and one id in it, may hold any share of all messages.
     """
     rows = prepared(messages)
-    order = Window.partitionBy("transcript_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last("ts", ignorenulls=True).over(order)
-    same = Window.partitionBy("transcript_id", "source_id").orderBy("pos")
-    checked = rows.withColumn("back", F.col("ts") < last).withColumn("again", F.row_number().over(same) > 1)
-    found = F.filter(
-        F.array(
-            F.when(F.col("participant").isNull(), F.struct(F.lit("unknown_participant").alias("code"), F.lit("unknown participant").alias("detail"))),
-            F.when(F.col("again"), F.struct(F.lit("duplicate_id").alias("code"), F.concat(F.lit("Duplicate message ID: "), "source_id").alias("detail"))),
-            F.when(F.col("back"), F.struct(F.lit("order").alias("code"), F.lit("Messages must be in chronological order").alias("detail"))),
-        ),
-        lambda v: v.isNotNull(),
-    )
-    return checked.select("transcript_id", "pos", F.explode(found).alias("v")).select("transcript_id", "pos", "v.code", "v.detail")
-
-
-def require_valid(messages: DataFrame) -> None:
-    """Raise an error for the first bad message."""
-    bad = message_violations(messages).orderBy("transcript_id", "pos").limit(1).collect()
+    checked = scan(rows, "transcript_id", "pos", ["ts"], known=["ts"], spread=spread)
+    ids = rows.groupBy("transcript_id", "source_id").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = rows.select("transcript_id", "pos", "source_id").join(ids, ["transcript_id", "source_id"]).where(F.col("pos") > F.col("first"))
+    found = [
+        again.select("transcript_id", "pos", F.lit("duplicate_id").alias("code")),
+        checked.where(F.col("ts") < F.col("known_ts")).select("transcript_id", "pos", F.lit("order").alias("code")),
+    ]
+    if {"participant", "role"} & set(messages.columns):
+        found.append(checked.where(F.col("participant").isNull()).select("transcript_id", "pos", F.lit("unknown_participant").alias("code")))
+    if "violation" in messages.columns:
+        found.append(messages.where("violation is not null").select("transcript_id", "pos", F.col("violation").alias("code")))
+    listed = found[0]
+    for more in found[1:]:
+        listed = listed.unionByName(more)
+    return listed.withColumn("detail", F.element_at(literal_map(SAYS), F.col("code")))
+
+
+def require_valid(messages: DataFrame, spread: bool = False) -> None:
+    """Raise an error for the first bad message; of several faults of one message, for the first in the order of ``SAYS``."""
+    rank = F.array_position(F.lit(list(SAYS)), F.col("code"))
+    bad = message_violations(messages, spread).orderBy("transcript_id", "pos", rank).limit(1).collect()
     if bad:
         raise ValueError(f"Message {bad[0]['pos']}: {bad[0]['detail']}")
 

@@ -12,7 +12,7 @@ from chatterforge.operators.identity import assign_participants, normalize_messa
 from chatterforge.operators.quality import REASONS, FilterConfig, classify, filter_report
 from chatterforge.operators.sharegpt import LABELS, conversations
 from chatterforge.operators.splits import SPLITS, drop_duplicate_samples, split_sessions, split_summary
-from chatterforge.operators.turns import TARGET, aggregate_turns, sessionize
+from chatterforge.operators.turns import TARGET, aggregate_turns
 from chatterforge.operators.validation import known_participants, require_valid
 from chatterforge.operators.windows import SESSION, build_windows, usable_sessions
 from chatterforge.runtime import materialize, number_rows
@@ -61,8 +61,7 @@ def parse_export(spark: SparkSession, path: str, self_ref: str | None = None, ta
 
 def session_turns(messages: DataFrame, config: FormatConfig) -> DataFrame:
     """Turns with sessions from messages that the filters kept."""
-    turns = aggregate_turns(messages, config.turn_gap_seconds, config.merge_unknown_timestamps, config.spread)
-    return sessionize(turns, config.session_gap_seconds, config.spread)
+    return aggregate_turns(messages, config.turn_gap_seconds, config.merge_unknown_timestamps, config.spread, config.session_gap_seconds)
 
 
 def split_samples(turns: DataFrame, config: FormatConfig) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +82,7 @@ def format_dataset(messages: DataFrame, prefix: str, config: FormatConfig = Form
     """
     marked = materialize(classify(messages, config.filters))
     kept = marked.where("reason is null")
-    require_valid(kept)
+    require_valid(kept, config.spread)
     turns = materialize(session_turns(kept, config))
     split, samples = split_samples(turns, config)
     samples = materialize(samples)
@@ -133,8 +132,7 @@ def _text_report(texts: DataFrame) -> dict:
 
 def inspect_transcripts(messages: DataFrame, window_size: int = 6, turn_gap_seconds: int = 300, session_gap_seconds: int = 1800) -> DataFrame:
     """One row per transcript: messages by speaker, turns, sessions, target texts, markers, repeats and times."""
-    turns = aggregate_turns(known_participants(messages), turn_gap_seconds, spread=True)
-    turns = materialize(sessionize(turns, session_gap_seconds, spread=True))
+    turns = materialize(aggregate_turns(known_participants(messages), turn_gap_seconds, spread=True, session_gap_seconds=session_gap_seconds))
     said = turns.where(F.col("participant") == TARGET).select("transcript_id", F.col("content").alias("text"))
     key = ["transcript_id"]
     parts = [profiling.session_counts(turns, window_size), *[f(said, key) for f in (profiling.length_stats, profiling.content_markers, profiling.duplicate_counts)]]
@@ -150,7 +148,7 @@ def inspect_parsed(messages: DataFrame, window_size: int = 6, turn_gap_seconds:
     if several > 1:
         raise ValueError("more than one transcript; use inspect_transcripts for a row of each")
     counts = _row(profiling.message_counts(messages))
-    turns = materialize(sessionize(aggregate_turns(known_participants(messages), turn_gap_seconds, spread=True), session_gap_seconds, spread=True))
+    turns = materialize(aggregate_turns(known_participants(messages), turn_gap_seconds, spread=True, session_gap_seconds=session_gap_seconds))
     sessions = _row(profiling.session_counts(turns, window_size))
     iso = lambda t: None if t is None else t.isoformat()
     return {

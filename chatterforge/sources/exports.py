@@ -38,8 +38,8 @@ def _elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def _messages(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     found = _elements(spark, path).where(F.ltrim("json").startswith("{")).withColumn("m", F.from_json("json", schema))
-    # As written: a list, or what should have been one; null where there is none.
-    written = F.get_json_object("json", "$.attachments").alias("attachments_json")
+    # As JSON: a list, or what should have been one; null where there is none.
+    written = F.to_json(F.try_variant_get(F.try_parse_json("json"), "$.attachments", "variant")).alias("attachments_json")
     return found.select("transcript_id", F.col("pos").cast("bigint").alias("pos"), "m.*", written, "export_channel_id", "channel_name")
 
 

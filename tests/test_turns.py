@@ -81,7 +81,7 @@ def test_violations(spark):
     rows = [say(1, "self", 100), say(1, "target", 200), say(3, "someone", 300), say(4, "self", None), say(5, "self", 250), {**say(6, "self", 0), "content": " "}]
     found = {(r["pos"], r["code"]) for r in message_violations(table(spark, rows)).collect()}
     assert found == {(1, "duplicate_id"), (2, "unknown_participant"), (4, "order")}
-    with pytest.raises(ValueError, match="Message 1: Duplicate message ID: 1"):
+    with pytest.raises(ValueError, match="Message 1: this message id stands above already"):
         require_valid(table(spark, rows))
 
 
@@ -104,6 +104,8 @@ def test_random_transcripts_against_the_model(spark, gap, session_gap, unknown,
         expected[str(n)] = [[(t["participant"], t["content"], tuple(t["ids"])) for t in s] for s in found]
         expected[str(n), "w"] = [[(t["participant"], t["content"]) for t in h] for s in found for h in model.windows(s, w)]
     turns = sessionize(aggregate_turns(table(spark, rows), gap, unknown, spread), session_gap, spread)
+    at_once = aggregate_turns(table(spark, rows), gap, unknown, spread, session_gap)
+    assert at_once.orderBy("transcript_id", "turn_no").collect() == turns.select(*at_once.columns).orderBy("transcript_id", "turn_no").collect()
     got: dict = {}
     for r in turns.orderBy("transcript_id", "turn_no").collect():
         mine = got.setdefault(r["transcript_id"], [])
@@ -131,10 +133,11 @@ def test_one_transcript_over_many_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
         spread = sessionize(aggregate_turns(df, spread=True), spread=True).orderBy("transcript_id", "turn_no").collect()
+        at_once = aggregate_turns(df, spread=True, session_gap_seconds=1800).orderBy("transcript_id", "turn_no").collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert spread == sessionize(aggregate_turns(df)).orderBy("transcript_id", "turn_no").collect()
+    assert at_once == spread == sessionize(aggregate_turns(df)).orderBy("transcript_id", "turn_no").collect()
 
 
 def blocks(spark, n, text=None):
