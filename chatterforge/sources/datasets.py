@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 import json
 import os
+import re
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatterforge.functions import text as T
 from chatterforge.operators.sharegpt import CONVERSATION, describe_problem
+from chatterforge.runtime import delete_folder, materialize, scratch_folder
 from chatterforge.sources.exports import BOM
 
 MOST_PROBLEMS = 20
-#: Bytes of a file that is hashed as a whole.
-MOST_HASHED = 1 << 30
+#: Files that Spark decompresses where it reads lines; their bytes are hashed as one value, which Spark bounds at 2 GB.
+COMPRESSED = r"\.(gz|bz2|deflate|lz4|snappy|zst|zstd)$"
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -77,19 +83,87 @@ def sharegpt_problems(spark: SparkSession, path: str, most: int = MOST_PROBLEMS)
     return parsed.orderBy("file", "line_no").limit(most).select("file", "line_no", "problem")
 
 
-def file_info(spark: SparkSession, path: str) -> DataFrame:
-    """``file, sha256, samples, invalid_rows`` of each file.
+class _Digest:
+    """The SHA-256 of a file from its lines.
+
+    Lines come without their ends, without a byte order mark, and without a sign of whether the last one was ended;
+    the size of the file tells both at its end, so the digest goes on with and without the mark.
+    """
 
-    The digest is that of the file's bytes, which have to be one value for it: null for files above ``MOST_HASHED``.
+    def __init__(self, file: str, size: int):
+        self.file, self.size, self.seen = file, size, -1
+        self.plain, self.marked = hashlib.sha256(), hashlib.sha256(codecs.BOM_UTF8)
+
+    def add(self, lines: list[bytes]) -> None:
+        data = (b"\n" if self.seen >= 0 else b"") + b"\n".join(lines)
+        self.seen = max(self.seen, 0) + len(data)
+        self.plain.update(data)
+        self.marked.update(data)
+
+    def end(self) -> str:
+        more = self.size - max(self.seen, 0)
+        if more not in (0, 1, 3, 4):
+            raise ValueError(f"{self.file}: its lines do not add up to its {self.size} bytes")
+        found = self.marked if more >= 3 else self.plain
+        if more in (1, 4):
+            found.update(b"\n")
+        return found.hexdigest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now = None
+    told = lambda d: pa.RecordBatch.from_pydict({"file": [d.file], "sha256": [d.end()]})
+    for batch in batches:
+        files = batch["file"].to_pylist()
+        start = 0
+        while start < len(files):
+            end = start + 1
+            while end < len(files) and files[end] == files[start]:
+                end += 1
+            if now is None or now.file != files[start]:
+                if now is not None:
+                    yield told(now)
+                now = _Digest(files[start], batch["size"][start].as_py())
+            now.add(batch["value"].slice(start, end - start).to_pylist())
+            start = end
+    if now is not None:
+        yield told(now)
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``file, sha256`` of each file, of any size: its bytes stream through one task, as the digest goes from byte to byte.
+
+    A second session reads each file as one stretch; no value is larger than a line.
     """
+    whole = spark.newSession()
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        whole.conf.set(f"spark.sql.files.{name}", str(1 << 50))
+    lines = whole.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value")
+    )
+    folder = scratch_folder(spark, "digests")
+    lines.where(~F.col("file").rlike(COMPRESSED)).mapInArrow(_digests, "file string, sha256 string").write.parquet(folder)
+    streamed = spark.read.schema("file string, sha256 string").parquet(folder)
     files = spark.read.format("binaryFile").load(path)
-    names = files.select(F.col("_metadata.file_path").alias("file"), F.col("length"))
-    digests = files.where(F.col("length") <= MOST_HASHED).select(F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("sha256"))
+    # Scans leave empty files out, the listing does not.
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", f),) for f in files.inputFiles()], "file string")
+    names = listed.join(files.select(F.col("_metadata.file_path").alias("file"), F.col("length")), "file", "left")
+    # A file without any line is empty or a byte order mark.
+    bare = F.when(F.col("length").isNull(), F.sha2(F.lit(b""), 256)).otherwise(F.sha2(F.lit(codecs.BOM_UTF8), 256))
+    hashed = names.where(~F.col("file").rlike(COMPRESSED)).join(streamed, "file", "left").select("file", F.coalesce("sha256", bare).alias("sha256"))
+    packed = files.select(F.col("_metadata.file_path").alias("file"), "content").where(F.col("file").rlike(COMPRESSED))
+    found = materialize(hashed.unionByName(packed.select("file", F.sha2("content", 256).alias("sha256"))))
+    delete_folder(spark, folder)
+    return found
+
+
+def file_info(spark: SparkSession, path: str) -> DataFrame:
+    """``file, sha256, samples, invalid_rows`` of each file."""
     counts = parse_lines(_numbered_lines(spark, path)).groupBy("file").agg(
         F.count_if(F.col("problem").isNull()).alias("samples"), F.count_if(F.col("problem").isNotNull()).alias("invalid_rows")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return names.join(digests, "file", "left").join(counts, "file", "left").select("file", "sha256", zero("samples"), zero("invalid_rows"))
+    return file_digests(spark, path).join(counts, "file", "left").select("file", "sha256", zero("samples"), zero("invalid_rows"))
 
 
 def write_sharegpt(samples: DataFrame, path: str) -> None:

@@ -1,10 +1,12 @@
-"""Raw chat exports and parsed transcripts: one JSON file is one transcript."""
+"""Raw chat exports and parsed transcripts: one JSON file is one transcript, split where it is read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatterforge.sources.json_array import read_elements
+
 BOM = r"^\x{feff}"
 AUTHOR = "struct<id:string,username:string,name:string,global_name:string,display_name:string,bot:boolean>"
 REFERENCE = "struct<message_id:string,messageId:string>"
@@ -16,24 +18,21 @@ PARSED_MESSAGE = (
     "struct<id:string,participant:string,role:string,author_id:string,username:string,display_name:string,content:string,"
     "timestamp:string,channel_id:string,session_id:string,bot:boolean,attachments:array<string>,reply_to:string>"
 )
-DOCUMENT = "struct<messages:array<string>,channel_id:string,channel:string>"
+AROUND = "struct<channel_id:string,channel:string>"
 
 
 def _elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``transcript_id, pos, json, export_channel_id, channel_name``; a list and an object with messages both do."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("transcript_id"), F.regexp_replace("value", BOM, "").alias("body")
-    )
-    whole = F.from_json("body", DOCUMENT)
-    is_list = F.ltrim("body").startswith("[")
-    items = F.when(is_list, F.from_json("body", "array<string>")).otherwise(whole["messages"])
-    channel = F.when(~is_list, whole["channel"])
-    return files.select(
-        "transcript_id",
-        F.posexplode(items).alias("pos", "json"),
-        F.when(~is_list, whole["channel_id"]).alias("export_channel_id"),
-        F.coalesce(F.get_json_object(channel, "$.name"), F.lit("DM")).alias("channel_name"),
+    """``transcript_id, pos, json, export_channel_id, channel_name``; a list and an object with messages both do, of any size."""
+    elements, around = read_elements(spark, path)
+    members = F.from_json("json", AROUND)
+    named = around.select(
+        F.col("file").alias("__file"),
+        members["channel_id"].alias("export_channel_id"),
+        F.coalesce(F.get_json_object(members["channel"], "$.name"), F.lit("DM")).alias("channel_name"),
     )
+    # One row for each file; Spark sends it where it is small and shuffles it where there are many files.
+    found = elements.join(named, elements["file"] == named["__file"])
+    return found.select(F.col("file").alias("transcript_id"), "pos", "json", "export_channel_id", "channel_name")
 
 
 def _messages(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
