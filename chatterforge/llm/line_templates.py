@@ -61,7 +61,9 @@ def counts(n: Column, n_fixed: Column, min_tokens: int) -> Column:
 
 def parsed(docs: DataFrame, depth: int, *more: Column) -> DataFrame:
     """One row per line that is not blank: its document, place, size, leaf and form."""
-    lines = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # The digest is taken once for a text, below the lines.
+    known = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
+    lines = known.select("doc_id", "digest", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     masked = lines.select("doc_id", "digest", "line_no", masked_line(F.col("line")).alias("masked")).where("masked <> ''")
     n = token_count(F.col("masked"))
     return masked.select(
@@ -103,6 +105,18 @@ def leaf_templates(lines: DataFrame, leaves: DataFrame, min_tokens: int) -> Data
     return shaped.where(counts(F.size("shape"), n_fixed, min_tokens)).select("leaf", "form", F.xxhash64("shape").alias("template"))
 
 
+def without_lines(text: Column, dropped: Column) -> Column:
+    """The text without the lines of these numbers, which are sorted: the stretches between them, so it is linear in both."""
+
+    def stretches(lines: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(dropped, lambda i: i + 1))
+        ends = F.concat(dropped, F.array(F.size(lines)))
+        return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
+
+    # The lines are split once, as the one element of an array.
+    return F.array_join(F.get(F.transform(F.array(F.split(text, "\n")), stretches), F.lit(0)), "\n")
+
+
 def repeated_lines(
     docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, copies: str = NONE
 ) -> DataFrame:
@@ -164,11 +178,7 @@ def dedup_lines(
     )
     met = docs.join(lists, same, "left")
     text = F.col(f"`{text_col}`").cast("string")
-    all_lines = F.split(text, "\n")
     dropped = F.coalesce(F.col(found_name), F.array().cast("array<int>"))
-    kept = F.when(
-        F.size("dropped_lines") > 0,
-        F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("dropped_lines", i)), "\n"),
-    ).otherwise(text)
+    kept = F.when(F.size("dropped_lines") > 0, without_lines(text, F.col("dropped_lines"))).otherwise(text)
     columns = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "dropped_lines"]
     return met.withColumn("dropped_lines", dropped).select(*columns, "dropped_lines")

@@ -131,3 +131,27 @@ def test_the_query_spares_no_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = QUERIES["op9_line_templates"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["dropped_lines"] for r in found} == {0: "", 1: "0", 2: "0"}
+
+
+def test_very_long_texts_are_linear(spark):
+    """Three texts of 100,000 lines each, of which a third goes, and a fixed and a varying form stay in the first."""
+    import time
+
+    def text(i):
+        return "\n".join(("open the same door today" if n % 3 == 0 else f"word{'abc'[i]}x{n}" if n % 3 == 1 else f"one line {i} of text") for n in range(100_000))
+
+    rows = [(i, text(i)) for i in range(3)]
+    began = time.time()
+    found = {r["doc_id"]: r for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert time.time() - began < 100
+    assert len(found[0]["dropped_lines"]) >= 33_333 and set(range(0, 100_000, 3)) <= set(found[1]["dropped_lines"])
+    for i, t in rows:
+        dropped = set(found[i]["dropped_lines"])
+        assert found[i]["text"] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in dropped)
+
+
+def test_digest_is_taken_below_the_lines(spark, capsys):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    L.parsed(docs, 2).explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Generate") < plan.index("md5(")
