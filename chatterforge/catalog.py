@@ -832,6 +832,18 @@ def style_components(spark, sf_dir):
     return style.compare(corpora(spark, sf_dir), "en").select("corpus", *[F.round(c, 6).alias(c) for c in style.WEIGHTS])
 
 
+_FOURS = {n: f"round_even({n}, 4)" for n in style.WEIGHTS}
+
+
+@query(
+    f"""WITH found AS ({ORACLE_SQL['style_components']}) SELECT corpus, {', '.join(f'{r} AS {n}' for n, r in _FOURS.items())},
+  round_even(100 * (({' + '.join(f'{r}::DECIMAL(12, 4)' for r in _FOURS.values())})::DOUBLE / {len(_FOURS)}), 1) AS persona_fidelity_score FROM found"""
+)
+def persona_scores(spark, sf_dir):
+    """The score of each language's documents against those in English."""
+    return style.persona_fidelity(style_components(spark, sf_dir))
+
+
 @query(
     f"""WITH {_REASONS.removeprefix('WITH ')} SELECT l.quality, l.toxic, coalesce(c.reason, 'kept') AS reason, count(*) AS n FROM c JOIN labels l ON l.doc_id = c.pos GROUP BY ALL"""
 )

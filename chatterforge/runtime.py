@@ -41,6 +41,15 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows of a table that is sent to all tasks; for tables of a few short columns.
+SENT_ROWS = 200_000
+
+
+def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """Broadcast a table of a few short columns if it has at most so many rows, else leave the join to shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def number_rows(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
     """``df`` with numbers from 0 in the given total order.
 

@@ -345,14 +345,52 @@ def test_style_scores(spark):
     assert found["models"]["formal"]["persona_fidelity_score"] < 60
     assert found["models"]["loud"]["components"]["casing_similarity"] < 0.5
     assert found["models"]["loud"]["components"]["length_similarity"] == 1.0
-    with pytest.raises(ValueError, match="non-empty"):
+    with pytest.raises(ValueError, match="all responses of blank are blank"):
         style.evaluate(corpora(spark, ref=CASUAL, blank=[" "]), "ref")
 
 
-def test_fidelity():
-    assert style.fidelity_score({n: 0.5 for n in style.WEIGHTS}) == 50.0
-    with pytest.raises(ValueError, match="Missing"):
-        style.fidelity_score({"length_similarity": 1.0})
+def test_fidelity(spark):
+    names = list(style.WEIGHTS)
+    rows = [("half", *[0.5] * 7), ("tie", *[0.53125] * 7), ("mixed", 1.0, 0.0, 0.25, 0.33333, 0.1, 0.98764, 0.7)]
+    df = spark.createDataFrame(rows, ["corpus", *names])
+    found = {r["corpus"]: r for r in style.persona_fidelity(df).collect()}
+    for corpus, *values in rows:
+        fours = [round(v, 4) for v in values]
+        assert [found[corpus][n] for n in names] == fours
+        assert found[corpus]["persona_fidelity_score"] == round(100 * sum(fours) / 7, 1)
+    weighted = style.persona_fidelity(df, {names[0]: 3.0, names[1]: 1.0}).where("corpus = 'mixed'").first()
+    assert weighted["persona_fidelity_score"] == 75.0
+    for bad in (df.drop(names[0]), df):
+        with pytest.raises(ValueError, match="positive weights"):
+            style.persona_fidelity(bad, {names[0]: 1.0 if bad is not df else 0.0})
+    with pytest.raises(Exception, match="component of the score is null"):
+        style.persona_fidelity(df.withColumn(names[2], F.lit(None).cast("double"))).collect()
+
+
+@pytest.mark.parametrize("width,tried", [(7, 4), (64, 1), (1 << 16, 4)])
+def test_leading_terms_by_sketch(spark, monkeypatch, width, tried):
+    """Few hash values and few of them tried: all leading terms and their ties are found, with exact counts."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(width)
+    rows = [(c, i, [f"t{int(rng.paretovariate(0.7)) % 400}" for _ in range(rng.randint(0, 30))]) for i in range(300) for c in ("a", "b", None)]
+    rows += [("few", 1, ["x", "y", "y"]), ("none", 1, [])]
+    monkeypatch.setattr(style, "TRIED", tried)
+    terms = style._exploded(spark.createDataFrame(rows, "corpus string, resp_id bigint, terms array<string>"))
+    found = {(r["corpus"], r["term"]): (r["freq"], r["resp_id"]) for r in style.leading_counts(terms, 20, width).collect()}
+    for corpus in ("a", "b", None, "few"):
+        n, first = Counter(), {}
+        for c, i, ts in rows:
+            if c == corpus:
+                n.update(ts)
+                for t in ts:
+                    first[t] = min(first.get(t, i), i)
+        floor = sorted(n.values())[-20:][0]
+        wanted = {(corpus, t): (k, first[t]) for t, k in n.items() if k >= floor}
+        assert wanted.items() <= found.items() and all(found[c, t] == (n[t], first[t]) for c, t in found if c == corpus)
+    if width > 10_000:
+        assert len(found) < len({(c, t) for c, _, ts in rows for t in ts}) / 2
 
 
 def test_evaluate_predictions(spark, tmp_path):
