@@ -77,9 +77,40 @@ def strip_code_blocks(c: Column | str) -> Column:
     return F.regexp_replace(_text(c), CODE_BLOCK, " ")
 
 
+def _folds() -> tuple[str, str, dict[str, str], str]:
+    """What is left of full case folding after lower case: characters that become one other, those that become several, and a class of both.
+
+    Made from Python's tables.  Letters that came into Unicode after those that the JVM knows are folded here in either case.
+    """
+    newer = lambda c: ord(c) >= 0xA7C0 or c in "\u1c89\u2c2f"
+    every = (chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000)
+    left = {c: c.casefold() for c in every if c != "ß" and c.casefold() != c and (c.lower() == c or newer(c))}
+    one = {c: f for c, f in left.items() if len(f) == 1}
+    ranges: list[list[int]] = []
+    for i in map(ord, left):
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    chosen = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+    return "".join(one), "".join(one.values()), {c: f for c, f in left.items() if len(f) > 1}, chosen
+
+
+_ONE, _BECOMES, _SEVERAL, FOLDED = _folds()
+
+
 def fold(c: Column | str) -> Column:
-    """Case-folded as far as lower case and sharp s go."""
-    return F.replace(F.lower(_text(c)), F.lit("ß"), F.lit("ss"))
+    """Full case folding, as Python's ``casefold``; only texts with one of its rarer characters take the longer way."""
+    lower = F.replace(F.lower(_text(c)), F.lit("ß"), F.lit("ss"))
+    several = "[" + "".join(_SEVERAL) + "]"
+    # Characters that become several are replaced one by one, in the texts that have any.
+    spread = F.aggregate(
+        F.map_entries(F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])),
+        lower,
+        lambda text, e: F.replace(text, e["key"], e["value"]),
+    )
+    longer = F.when(lower.rlike(several), spread).otherwise(lower)
+    return F.when(lower.rlike(FOLDED), F.translate(longer, _ONE, _BECOMES)).otherwise(lower)
 
 
 def duplicate_key(c: Column | str) -> Column:

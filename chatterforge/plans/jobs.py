@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ from chatterforge.operators.splits import SPLITS, drop_duplicate_samples, split_
 from chatterforge.operators.turns import TARGET, aggregate_turns
 from chatterforge.operators.validation import known_participants, require_valid
 from chatterforge.operators.windows import SESSION, build_windows, usable_sessions
-from chatterforge.runtime import materialize, number_rows
-from chatterforge.sources.datasets import file_info, kind_of, read_predictions, read_sharegpt, sharegpt_problems, write_json_atomic, write_sharegpt
+from chatterforge.runtime import delete_folder, materialize, number_rows
+from chatterforge.sources.datasets import file_info, kind_of, publish, read_predictions, read_sharegpt, sharegpt_problems, write_sharegpt
 from chatterforge.sources.exports import read_export, read_parsed
 
 
@@ -78,19 +79,30 @@ def split_samples(turns: DataFrame, config: FormatConfig) -> tuple[DataFrame, Da
 def format_dataset(messages: DataFrame, prefix: str, config: FormatConfig = FormatConfig()) -> dict:
     """Write the three ShareGPT datasets and the manifest; gives the manifest.
 
-    A split that is switched off is written empty, so that no older one is used in its place.
+    A split that is switched off is written empty, so that no older one is used in its place.  The
+    datasets are written beside their places and put there together, the manifest last; what stops the job before leaves
+    the older ones and their manifest as they were.
     """
+    spark = messages.sparkSession
     marked = materialize(classify(messages, config.filters))
     kept = marked.where("reason is null")
     require_valid(kept, config.spread)
     turns = materialize(session_turns(kept, config))
     split, samples = split_samples(turns, config)
     samples = materialize(samples)
-    outputs = {}
+    outputs, staged, mark = {}, {}, uuid.uuid4().hex
     for name in SPLITS:
-        mine = samples.where((F.col("split") == name) & ~F.col("duplicate")).orderBy("session_no", "turn_no")
         outputs[name] = f"{prefix}_{name}_sharegpt.jsonl"
-        write_sharegpt(mine.select(conversations("history", config.system_prompt, config.speaker_labels).alias("conversations")), outputs[name])
+        staged[f"{prefix}_{name}.writing-{mark}"] = outputs[name]
+    rows = conversations("history", config.system_prompt, config.speaker_labels).alias("conversations")
+    try:
+        for name, folder in zip(SPLITS, staged):
+            mine = samples.where((F.col("split") == name) & ~F.col("duplicate")).orderBy("session_no", "turn_no")
+            write_sharegpt(mine.select(rows), folder)
+    except BaseException:
+        for folder in staged:
+            delete_folder(spark, folder)
+        raise
     reasons = {r["reason"]: r["n"] for r in filter_report(marked).collect()}
     counts = turns.agg(F.count(F.lit(1)).alias("turns"), F.countDistinct(*SESSION).alias("sessions")).first()
     summary = split_summary(split, samples).collect()
@@ -107,7 +119,7 @@ def format_dataset(messages: DataFrame, prefix: str, config: FormatConfig = Form
         "splits": {n: {k: v for k, v in r.asDict().items() if k != "split"} for n in SPLITS for r in summary if r["split"] == n},
         "outputs": outputs,
     }
-    write_json_atomic(f"{prefix}_split_manifest.json", manifest)
+    publish(spark, staged, f"{prefix}_split_manifest.json", manifest)
     return manifest
 
 

@@ -41,6 +41,42 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text of the driver, put in its place by one rename that replaces what was there, in any file system that Spark writes to."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = place.getFileSystem(conf)
+    beside = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+        out.hsync() if out.hasCapability("hsync") else out.flush()
+    finally:
+        out.close()
+    replace(spark, str(beside), path)
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file, or a folder, to where there may be an older one."""
+    jvm = spark._jvm
+    fs_name = jvm.org.apache.hadoop.fs
+    old, new = fs_name.Path(source), fs_name.Path(target)
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(new) and fs.getFileStatus(new).isDirectory():
+        fs.delete(new, True)
+    # The class of the options is one inside another, which the gateway names with a dollar sign.
+    kind = getattr(fs_name, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    fs_name.FileContext.getFileContext(fs.makeQualified(new).toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(old), fs.makeQualified(new), options)
+
+
+def delete_file(spark: SparkSession, path: str) -> None:
+    """Delete a file if it is there."""
+    delete_folder(spark, path)
+
+
 #: Rows of a table that is sent to all tasks; for tables of a few short columns.
 SENT_ROWS = 200_000
 

@@ -7,9 +7,7 @@ import hashlib
 import json
 import os
 import re
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chatterforge.functions import text as T
 from chatterforge.operators.sharegpt import CONVERSATION, describe_problem
-from chatterforge.runtime import delete_folder, materialize, scratch_folder
+from chatterforge.runtime import delete_file, delete_folder, materialize, replace, scratch_folder, write_text
 from chatterforge.sources.exports import BOM
 
 MOST_PROBLEMS = 20
@@ -187,16 +185,21 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
-def write_json_atomic(path: str, value: dict) -> None:
-    """A small document of the driver, written beside its place and renamed."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=target.parent, prefix=target.name)
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(name, target)
+def write_json_atomic(spark: SparkSession, path: str, value: dict) -> None:
+    """A small document of the driver, replaced as a whole, wherever Spark writes."""
+    write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2))
+
+
+def publish(spark: SparkSession, staged: dict[str, str], manifest: str, value: dict) -> None:
+    """Put written folders in their places, then the manifest that stands for all of them.
+
+    ``staged`` maps folders to their places.  The older manifest goes first and the new one comes last, so whoever finds a
+    manifest finds the folders that belong to it.  Until all is written, nothing older is touched.
+    """
+    delete_file(spark, manifest)
+    for folder, place in staged.items():
+        replace(spark, folder, place)
+    write_json_atomic(spark, manifest, value)
 
 
 def kind_of(path: str) -> str:

@@ -1,5 +1,6 @@
 import math
 import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -100,3 +101,14 @@ def test_ngrams_and_casing(spark):
     assert one(spark, T.is_shouting("t"), "LOUD ```quiet``` 1") and not one(spark, T.is_shouting("t"), "Loud")
     assert one(spark, T.is_lowercase("t"), "quiet é 1") and not one(spark, T.is_lowercase("t"), "123")
     assert one(spark, T.upper_letters("t"), "AbÉ1") == 2 and one(spark, T.letters("t"), "AbÉ1") == 3
+
+
+def test_full_case_folding_of_every_character(spark):
+    """Of every character that Python's Unicode tables know; the JVM's may know more."""
+    points = [i for i in range(1, 0x110000) if unicodedata.category(chr(i)) not in ("Cn", "Cs")]
+    rows = [(i, "".join(chr(p) + "\x00" for p in points[i : i + 500])) for i in range(0, len(points), 500)]
+    rows += [(-1, "ΑΣ ΣΑΣ. ΣΣ"), (-2, "STRASSE Straße ẞ ﬁ ŉ İI ıi ΐ Ꭰꭰ ſK"), (-3, None), (-4, "plain TEXT"), (-5, "Ǆ" * 50 + "ﬃ" * 50)]
+    df = spark.createDataFrame(rows, "i bigint, t string").repartition(4)
+    found = {r["i"]: r["f"] for r in df.select("i", T.fold("t").alias("f")).collect()}
+    for i, t in rows:
+        assert found[i] == (t or "").casefold(), i
