@@ -49,22 +49,65 @@ def derive_markers(render: Callable[..., str]) -> tuple[str, str]:
     return first, second
 
 
+_SPANS = "array<struct<start:bigint,end:bigint,text:string>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def sums_before(numbers: Column, chunk: int = 256) -> Column:
+    """For each number of an array the sum of those before it; added up in chunks, as a fold copies what it has so far."""
+    zero = F.lit(0).cast("bigint")
+
+    def fold(xs: Column) -> Column:
+        start = F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("before"))
+        step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["before"], F.array(a["sum"])).alias("before"))
+        return F.aggregate(xs, start, step, lambda a: a["before"])
+
+    def by_chunks(xs: Column) -> Column:
+        last = F.floor((F.size(xs) - 1) / chunk).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(xs, k * chunk + 1, chunk))
+        total = lambda c: F.aggregate(c, zero, lambda a, x: a + x)
+        found = _let(chunks, lambda cs: F.flatten(F.zip_with(cs, fold(F.transform(cs, total)), lambda c, above: F.transform(fold(c), lambda x: x + above))))
+        return F.when(F.size(xs) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+    return _let(F.transform(numbers, lambda x: x.cast("bigint")), by_chunks)
+
+
 def masked_spans(rendered: Column, instruction: str, response: str) -> Column:
     """(start, end, text) of each stretch that keeps loss: after a response marker, up to the next instruction.
 
-    Answers that follow each other directly overlap, as the later lies inside the earlier stretch.
+    Answers that follow each other directly overlap, as the later lies inside the earlier stretch.  All places come from
+    one pass over each kind of marker, so the work is linear in a chat but for sorting the places.
     """
+    # Pieces begin with each instruction, those that overlap included.
+    pieces = F.split(rendered, f"(?={_literal(instruction)})", -1)
+    after = F.filter(sums_before(F.transform(pieces, F.length)), lambda x: x > 0)
+    places = F.concat(F.when(rendered.startswith(instruction), F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), after)
     parts = F.split(rendered, _literal(response), -1)
-    places = F.sequence(F.lit(2), F.size(parts))
-
-    def span(i: Column) -> Column:
-        before = F.array_join(F.slice(parts, F.lit(1), i - 1), response)
-        after = F.array_join(F.slice(parts, i, F.size(parts) - i + 1), response)
-        kept = F.substring_index(after, instruction, 1)
-        start = F.length(before) + len(response)
-        return F.struct(start.cast("bigint").alias("start"), (start + F.length(kept)).cast("bigint").alias("end"), kept.alias("text"))
 
-    return F.when(F.size(parts) > 1, F.transform(places, span)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,text:string>>"))
+    def spans(x: Column) -> Column:
+        parts, ends = x["parts"], x["ends"]
+        before = sums_before(F.transform(parts, lambda p: F.length(p) + len(response)))
+        # Where answers begin and instructions begin, in order; an answer comes first where both do.
+        begins = F.transform(F.slice(before, 2, F.size(parts)), lambda at: F.struct(at.alias("at"), F.lit(0).alias("kind")))
+        merged = F.array_sort(F.concat(begins, F.transform(ends, lambda at: F.struct(at.alias("at"), F.lit(1).alias("kind")))))
+        starts = F.filter(F.transform(merged, lambda m, i: F.struct(m["at"].alias("at"), m["kind"].alias("kind"), i.alias("i"))), lambda m: m["kind"] == 0)
+
+        def span(m: Column, n: Column) -> Column:
+            # Of what stands before it in order, n are answers and the others instructions.
+            end = F.coalesce(F.get(ends, m["i"] - n), F.length(rendered).cast("bigint"))
+            own = F.get(parts, n + 1)
+            size = (end - m["at"]).cast("int")
+            text = F.when(size <= F.length(own), F.substring(own, F.lit(1), size)).otherwise(F.substring(rendered, (m["at"] + 1).cast("int"), size))
+            return F.struct(m["at"].alias("start"), end.alias("end"), text.alias("text"))
+
+        return F.transform(starts, span)
+
+    found = _let(F.struct(parts.alias("parts"), places.alias("ends")), spans)
+    return F.when(F.contains(rendered, F.lit(response)), found).otherwise(F.array().cast(_SPANS))
 
 
 def _literal(text: str) -> str:
