@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatterforge.functions import hooks
 from chatterforge.functions import text as T
 from chatterforge.operators import audit, profiling, style
 from chatterforge.operators.identity import collect_participants, label_messages, matches
@@ -23,6 +24,7 @@ from chatterforge.operators.style import pair_predictions
 from chatterforge.operators.turns import aggregate_turns, known_time_sessions, sessionize
 from chatterforge.operators.validation import message_violations
 from chatterforge.operators.windows import SESSION, build_windows, trim_history, usable_sessions
+from chatterforge.plans import compat
 from chatterforge.runtime import materialize, number_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,6 +342,50 @@ def context_trim(spark, sf_dir):
     return trim_history(said.join(reach, "conv_id", "left_semi"), cost, 120, ["conv_id"], "turn").select("conv_id", "turn")
 
 
+def _word_counter():
+    """A token counter as a user would bring one: it sees a whole chat."""
+    return lambda chat: sum(len(m["content"].split(" ")) for m in chat)
+
+
+def _tagged():
+    """A chat template as a user would bring one."""
+    return lambda chat: "".join(f"<|{m['role']}|>{m['content']}</s>" for m in chat)
+
+
+def whole_chats(spark, sf_dir):
+    """``conv_id, messages`` of each conversation, in order."""
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    found = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("said"))
+    return found.select("conv_id", F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
+@query(
+    """WITH c AS (SELECT *, len(string_split(text, ' ')) AS cost, CASE WHEN role = 'system' THEN 0 ELSE 1 END AS s FROM conversations),
+w AS (SELECT *, sum(s) OVER b AS nth, sum(cost * s) OVER b AS tail, sum(cost * (1 - s)) OVER (PARTITION BY conv_id) AS sys, sum(s) OVER (PARTITION BY conv_id) AS n
+  FROM c WINDOW b AS (PARTITION BY conv_id ORDER BY turn DESC)),
+k AS (SELECT conv_id, max(CASE WHEN s = 1 AND tail + sys <= 120 AND (n - nth) % 2 = 0 THEN nth END) AS keep, sum(1 - s) AS lead FROM w GROUP BY 1)
+SELECT conv_id, (keep + lead)::BIGINT AS n_kept, CASE WHEN keep IS NULL THEN 'too long' END AS problem FROM k"""
+)
+def chats_trimmed(spark, sf_dir):
+    """Chats within the budget of a user's own counter."""
+    found = whole_chats(spark, sf_dir).select("conv_id", hooks.trim(hooks.Hook("words of a chat", _word_counter), F.col("messages"), 120).alias("t"))
+    return found.select("conv_id", F.size("t.messages").cast("bigint").alias("n_kept"), "t.problem").withColumn("n_kept", F.when(F.col("problem").isNull(), F.col("n_kept")))
+
+
+@query("SELECT conv_id, md5(string_agg('<|' || role || '|>' || text || '</s>', '' ORDER BY turn)) AS rendered, sum(length(text) + length(role) + 8)::BIGINT AS n_chars FROM conversations GROUP BY 1")
+def chats_rendered(spark, sf_dir):
+    """Chats by a user's own template."""
+    found = whole_chats(spark, sf_dir).select("conv_id", hooks.render(hooks.Hook("tags", _tagged), F.col("messages")).alias("r"))
+    return found.select("conv_id", F.md5("r").alias("rendered"), F.length("r").cast("bigint").alias("n_chars"))
+
+
+@query(f"WITH {_CHAT_TURNS} SELECT transcript_id, turn_no, session_id::BIGINT AS session_id, participant, md5(content) AS digest FROM cturns")
+def chats_grouped(spark, sf_dir):
+    """The short form of turns and sessions, over range partitions."""
+    found = compat.group_consecutive_messages(chats(spark, sf_dir), spread=True)
+    return found.select("transcript_id", "turn_no", "session_id", "participant", F.md5("content").alias("digest"))
+
+
 def trimmable(messages: DataFrame, cost, budget: int) -> DataFrame:
     """Chats whose system messages and last one or two spoken ones fit, by the parity of the chat."""
     from pyspark.sql import Window
@@ -617,6 +663,24 @@ def made_reasons(spark, sf_dir):
     return classify(said, config).select(F.col("pos").alias("id"), "reason")
 
 
+@query(
+    f"""WITH m AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(9) || chr(10) || chr(13) WHEN 2 THEN NULL ELSE text END AS text FROM documents)
+SELECT doc_id, CASE WHEN {_CLEAN.format('text')} = '' THEN 'empty' END AS reason FROM m"""
+)
+def blank_reasons(spark, sf_dir):
+    """Documents of which three in four are made empty, white or null."""
+    kind = F.pmod(F.col("doc_id"), F.lit(4))
+    blank = F.when(kind == 0, "").when(kind == 1, " \t\n\r").when(kind == 2, F.lit(None)).otherwise(F.col("text"))
+    said = read(spark, sf_dir, "documents").select(F.lit("made").alias("transcript_id"), F.col("doc_id").alias("pos"), blank.alias("content"))
+    found = classify(said, FilterConfig(drop_deleted_placeholders=False))
+    return found.select(F.col("pos").alias("doc_id"), "reason")
+
+
+@query("SELECT doc_id, md5(replace(coalesce(text, ''), 'en', '[REDACTED_TOKEN]')) AS digest FROM documents")
+def token_masked(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.mask_token("text", "en")).alias("digest"))
+
+
 # ---- profiles of texts -----------------------------------------------------------------------------
 
 

@@ -142,7 +142,7 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def ratio_similarity(a: Column, b: Column) -> Column:
     """min / max of two magnitudes, 1 when both are 0; a negative one raises an error."""
-    checked = F.when((a < 0) | (b < 0), F.raise_error(F.lit("ratio_similarity needs non-negative values")).cast("double"))
+    checked = F.when((a < 0) | (b < 0), F.raise_error(F.lit("a magnitude is below 0")).cast("double"))
     return checked.when((a == 0) & (b == 0), F.lit(1.0)).otherwise(F.least(a, b).cast("double") / F.greatest(a, b))
 
 

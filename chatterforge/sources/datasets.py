@@ -71,7 +71,7 @@ def read_sharegpt(spark: SparkSession, path: str, strict: bool = True) -> DataFr
         if bad:
             raise ValueError(f"{os.path.basename(bad[0]['file'])}:{bad[0]['line_no']}: {bad[0]['problem']}")
         if parsed.isEmpty():
-            raise ValueError(f"Dataset is empty: {path}")
+            raise ValueError(f"{path} holds no sample")
     return parsed.where("problem is null").select("file", "line_no", "conversations")
 
 
@@ -181,7 +181,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     if bad:
         raise ValueError(f"line {bad[0]['line_no']}: expected a string or an object with response or value")
     if found.isEmpty():
-        raise ValueError(f"No predictions in {path}")
+        raise ValueError(f"{path} holds no prediction")
     return found
 
 

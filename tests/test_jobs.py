@@ -164,7 +164,7 @@ def test_format_dataset(spark, tmp_path):
         assert jobs.inspect_path(spark, manifest["outputs"][split])["samples"] == len(rows[split])
     again = jobs.format_dataset(messages, str(tmp_path / "out"), jobs.FormatConfig(val_ratio=0, test_ratio=0))
     assert lines(spark, again["outputs"]["val"]) == [] and again["splits"]["train"]["sessions"] == 8
-    with pytest.raises(ValueError, match="cannot fill"):
+    with pytest.raises(ValueError, match="too few to hold out"):
         jobs.format_dataset(messages.where("pos < 4"), str(tmp_path / "few"))
     with pytest.raises(ValueError):
         jobs.FormatConfig(turn_gap_seconds=10, session_gap_seconds=5)

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from chatterforge.operators.splits import drop_duplicate_samples, split_counts, split_sessions, split_summary, validate_ratios
+from chatterforge.operators.splits import drop_duplicate_samples, permuted_places, split_counts, split_sessions, split_summary, validate_ratios
 from chatterforge.operators.turns import aggregate_turns, sessionize
 from chatterforge.operators.validation import message_violations, require_valid
 from chatterforge.operators.windows import build_windows, trim_history, usable_sessions
@@ -155,6 +155,31 @@ def test_chronological_split(spark):
     assert found == {**{i: "train" for i in range(8)}, 8: "val", 9: "test"}
 
 
+@pytest.mark.parametrize("total", [1, 2, 3, 7, 100, 101, 997, 10_007])
+def test_permuted_places_are_a_bijection(spark, total):
+    numbers = spark.range(total).withColumnRenamed("id", "n").repartition(3)
+    orders = []
+    for seed in (1, 2):
+        found = {r["n"]: r["place"] for r in permuted_places(numbers, "n", total, seed).collect()}
+        assert sorted(found) == sorted(found.values()) == list(range(total))
+        orders.append([found[i] for i in range(total)])
+    if total >= 100:
+        assert orders[0] != orders[1] and sum(a == b for a, b in zip(*orders)) < total / 4
+        held = [i for i in range(total) if orders[0][i] >= total * 0.9]
+        assert total * 0.3 < sum(held) / len(held) < total * 0.7
+
+
+def test_permuted_split(spark):
+    turns = blocks(spark, 40)
+    split = split_sessions(turns, 0.2, 0.1, "permuted", 5)
+    found = {r["session_id"]: r["split"] for r in split.select("session_id", "split").distinct().collect()}
+    assert sorted(found.values()) == ["test"] * 4 + ["train"] * 28 + ["val"] * 8
+    again = {r["session_id"]: r["split"] for r in split_sessions(turns.repartition(7), 0.2, 0.1, "permuted", 5).select("session_id", "split").distinct().collect()}
+    assert again == found and found != {i: "train" if i < 28 else "val" if i < 36 else "test" for i in range(40)}
+    with pytest.raises(ValueError, match="permuted splits need a seed"):
+        split_sessions(turns, 0.2, 0.1, "permuted")
+
+
 def test_random_split_is_the_list_shuffle(spark):
     order = list(range(10))
     random.Random(7).shuffle(order)
