@@ -164,7 +164,11 @@ def pii_disclosure(generalise: float = 0.8, remove: float = 0.95, z: float = 1.6
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest FROM documents),
 base AS ({kinds}),
-texts AS (SELECT digest, any_value(text) AS text FROM docs GROUP BY 1),
+steps AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_end FROM base),
+gaps AS (SELECT steps.*, CASE WHEN e > at_end THEN substr(text, at_end + 1, greatest(s - at_end, 0)) || ' ' ELSE '' END AS gap FROM steps JOIN docs USING (doc_id)),
+outer_texts AS (SELECT g.doc_id, string_agg(gap, '' ORDER BY s, e, k) || any_value(substr(d.text, last_end + 1)) AS text
+  FROM gaps g JOIN docs d USING (doc_id) JOIN (SELECT doc_id, max(e) AS last_end FROM base GROUP BY 1) USING (doc_id) GROUP BY 1),
+texts AS (SELECT digest, any_value(coalesce(o.text, d.text)) AS text FROM docs d LEFT JOIN outer_texts o USING (doc_id) GROUP BY 1),
 entities AS (SELECT DISTINCT kind, v, digest FROM base JOIN docs USING (doc_id)),
 classes AS (SELECT DISTINCT kind, unnest([kind, kind || '|g|' || {_GROUP}, kind || '|v|' || v]) AS c, digest FROM entities),
 known AS (SELECT c, count(*) AS n_c FROM classes GROUP BY 1),

@@ -3,7 +3,8 @@ r"""Information-theoretic sanitisation of personal data, in DataFrame operations
 *Protected entities* are the e-mail addresses, IP addresses, card and phone
 numbers that fixed patterns find.  Personal values hardly ever repeat, so an entity is looked at on
 three levels: its kind, its group (mail domain, first half of an IP address, first digits of a number), and
-its value.  *Disclosing terms* are runs of letters and digits, of any length, that give such a class away.
+its value.  *Disclosing terms* are runs of letters and digits, of any length, that stand outside of entities and give such a class
+away; the parts of an address say nothing of the words that they are made of.
 With n(c), n(t) and n(c, t) different texts that hold class c, term t and both, of N in all, and p the lower
 end of the one-sided 95 % Wilson interval of n(c, t) / n(t),
 
@@ -151,6 +152,12 @@ def text_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
+def outside(text: Column, base: Column) -> Column:
+    """The text with a space in the place of each entity."""
+    gaps = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("tag")))
+    return F.when(F.size(base) == 0, text).otherwise(let(F.array_sort(gaps), lambda spans: _replaced(text, spans)))
+
+
 def lower_bound(n: Column, of: Column) -> Column:
     """The lower end of the Wilson interval of the share ``n / of``."""
     share, z = n / of, F.lit(Z)
@@ -161,10 +168,11 @@ def lower_bound(n: Column, of: Column) -> Column:
 def disclosing_terms(texts: DataFrame, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """``term, disclosure, kind`` of the terms to treat, and ``digest, terms`` of the texts that hold them.
 
-    ``texts`` has text, digest and base.
+    ``texts`` has text, digest and base.  Terms are taken, here and in all counts, from what stands outside of entities.
     """
     holders = texts.where(F.size("base") > 0).groupBy("digest").agg(F.first("text").alias("text"), F.first("base").alias("base"))
-    holders = materialize(holders.select("text", F.array_distinct(F.flatten(F.transform("base", entity_classes))).alias("classes")))
+    texts = texts.select("digest", outside(F.col("text"), F.col("base")).alias("text"))
+    holders = materialize(holders.select(outside(F.col("text"), F.col("base")).alias("text"), F.array_distinct(F.flatten(F.transform("base", entity_classes))).alias("classes")))
     known = holders.select(F.explode("classes").alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_c"))
     # No share of fewer texts has a lower bound of SURE.
     fewest = Z * Z * SURE / (1 - SURE)
@@ -191,24 +199,26 @@ def disclosing_terms(texts: DataFrame, least: float = GENERALISE) -> tuple[DataF
     return risky, held
 
 
-def sanitised(text: Column, base: Column, added: Column) -> Column:
-    """The text with every entity replaced by its kind, and disclosing terms by their class or by nothing."""
-    cut = lambda s, tag: F.struct(s["start"].alias("start"), s["end"].alias("end"), tag.alias("tag"))
-    named = F.transform(base, lambda s: cut(s, F.concat(F.lit("<"), s["kind"], F.lit(">"))))
-    more = F.transform(added, lambda s: cut(s, F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("<"), s["of"], F.lit(" term>")))))
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with each span, sorted by start, replaced by its tag; one that begins inside an earlier one goes with it."""
 
     def piece(s: Column, at: Column) -> Column:
         gap = text.substr((at + 1).cast("int"), F.greatest(s["start"] - at, F.lit(0)).cast("int"))
         return F.when(s["end"] > at, F.concat(gap, s["tag"])).otherwise(F.lit(""))
 
-    def joined(spans: Column) -> Column:
-        ends = F.transform(spans, lambda s: s["end"])
-        pieces = F.array_join(F.zip_with(spans, running(ends, F.greatest), piece), "")
-        last = F.array_max(ends)
-        return F.concat(pieces, text.substr((last + 1).cast("int"), F.greatest(F.length(text) - last, F.lit(0)).cast("int")))
+    ends = F.transform(spans, lambda s: s["end"])
+    pieces = F.array_join(F.zip_with(spans, running(ends, F.greatest), piece), "")
+    last = F.array_max(ends)
+    return F.concat(pieces, text.substr((last + 1).cast("int"), F.greatest(F.length(text) - last, F.lit(0)).cast("int")))
 
+
+def sanitised(text: Column, base: Column, added: Column) -> Column:
+    """The text with every entity replaced by its kind, and disclosing terms by their class or by nothing."""
+    cut = lambda s, tag: F.struct(s["start"].alias("start"), s["end"].alias("end"), tag.alias("tag"))
+    named = F.transform(base, lambda s: cut(s, F.concat(F.lit("<"), s["kind"], F.lit(">"))))
+    more = F.transform(added, lambda s: cut(s, F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("<"), s["of"], F.lit(" term>")))))
     spans = F.array_sort(F.concat(named, more))
-    return F.when((F.size(base) == 0) & (F.size(added) == 0), text).otherwise(let(spans, joined))
+    return F.when((F.size(base) == 0) & (F.size(added) == 0), text).otherwise(let(spans, lambda found: _replaced(text, found)))
 
 
 def sanitise(

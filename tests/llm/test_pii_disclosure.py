@@ -118,6 +118,19 @@ def test_a_term_beside_few_entities_is_left(spark):
     assert {a["value"] for r in P.sanitise(docs).collect() for a in r["added"]} == {"and", "beside"}
 
 
+def test_parts_of_addresses_are_no_terms(spark):
+    """Words that addresses are made of stay where they stand by themselves; a name beside the addresses goes."""
+    rows = [(i, f"call for Quixana{'' if i % 2 else ' now'}: me{i}@corp{i}.example or +1 555 010 {1000 + i}") for i in range(40)]
+    rows += [(100 + i, f"words for text {i} or now") for i in range(600)]
+    rows += [(900, "for example tea at 555 or 010"), (901, "Quixana drinks tea")]
+    found = {r["doc_id"]: r for r in P.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[900]["added"] == [] and found[900]["sanitised"] == rows[-2][1]
+    assert [a["value"] for a in found[901]["added"]] == ["Quixana"]
+    texts_, bases = P.F.col("text"), P.base_spans(P.F.col("text"))
+    df = spark.createDataFrame([("a@b.cx +1 234 567 8901y",), ("no entity",), ("1.2.3.4",), ("",)], "text string")
+    assert [r[0] for r in df.select(P.outside(texts_, bases)).collect()] == ["   y", "no entity", " ", ""]
+
+
 def test_running_folds_over_chunks(spark):
     df = spark.createDataFrame([([],), ([5],), (list(range(1000)),)], "v array<bigint>")
     for join, expected in ((lambda a, x: a + x, [sum(range(i)) for i in range(1000)]), (P.F.greatest, [max(0, i - 1) for i in range(1000)])):
