@@ -431,24 +431,28 @@ def remove_repeats(
     spark = docs.sparkSession
     shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # One exchange of the texts, by id, serves all three readings.
-    named = named.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).repartition("key")
-    texts = named.withColumn("tag", F.dense_rank().over(Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))).cast("bigint"))
-    earliest = texts.groupBy(F.md5("text").alias("digest")).agg(F.min(F.struct("key", "tag")).alias("e"))
-    earliest = earliest.groupBy(F.col("e.key").alias("key")).agg(F.collect_list("e.tag").alias("tags"))
-    texts = texts.join(earliest, "key", "left").withColumn("first", F.coalesce(F.array_contains("tags", F.col("tag")), F.lit(False)))
-    placed = texts.where("first").select("key", "tag", "text").mapInArrow(_anchor_batches(width, gram), "key bigint, tag bigint, gram bigint, place bigint")
+    # A document is an id and a digest, so that many texts under one id, or without any, are dealt like others.
+    document = ["key", "tag"]
+    named = named.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tag", F.xxhash64("text"))
+    # One exchange of the texts, by document, serves all three readings.
+    # Of rows that are one document, one is searched; all of them get the result.
+    nth = F.row_number().over(Window.partitionBy(*document).orderBy("tag"))
+    texts = named.repartition(*document).withColumn("alone", nth == 1)
+    earliest = texts.groupBy(F.md5("text").alias("digest")).agg(F.min(F.struct(*document)).alias("e"))
+    earliest = earliest.select("e.key", "e.tag", F.lit(True).alias("first")).distinct()
+    texts = texts.join(earliest, document, "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    placed = texts.where("first and alone").select("key", "tag", "text").mapInArrow(_anchor_batches(width, gram), "key bigint, tag bigint, gram bigint, place bigint")
     counted = placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1")
-    found = counted.groupBy("key").agg(
+    found = counted.groupBy(*document).agg(
         F.collect_list(
-            F.struct("tag", "place", F.pmod("gram", F.lit(shards)).cast("int").alias("shard"), (F.col("n") > hot).alias("hot"))
+            F.struct(F.col("tag"), "place", F.pmod("gram", F.lit(shards)).cast("int").alias("shard"), (F.col("n") > hot).alias("hot"))
         ).alias("found")
     )
-    runs = texts.where("first").join(found, "key").select("key", "tag", "text", "found").mapInArrow(_run_batches(width, shards), _RUN_SCHEMA)
+    runs = texts.where("first and alone").join(found, document).select("key", "tag", "text", "found").mapInArrow(_run_batches(width, shards), _RUN_SCHEMA)
     by_shard = F.coalesce("shard", F.pmod(F.hash("key", "start"), F.lit(shards)))
     dealt = runs.repartition(by_shard).sortWithinPartitions("shard")
     ranges = dealt.mapInArrow(_merge_batches(width), "key bigint, tag bigint, start bigint, stop bigint")
-    gathered = ranges.groupBy("key").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("found"))
-    return texts.join(gathered, "key", "left").select("doc_id", "tag", "text", "first", "found").mapInArrow(
+    gathered = ranges.groupBy(*document).agg(F.collect_list(F.struct("tag", "start", "stop")).alias("found"))
+    return texts.join(gathered, document, "left").select("doc_id", "tag", "text", "first", "found").mapInArrow(
         _cut_batches(width), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<bigint>"
     )

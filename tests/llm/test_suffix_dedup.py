@@ -1,5 +1,7 @@
+import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,3 +99,23 @@ def test_awkward_rows(spark):
     assert S.remove_repeats(awkward(spark, [])).count() == 0
     with pytest.raises(ValueError):
         S.remove_repeats(awkward(spark, []), width=300)
+
+
+def test_many_texts_under_one_id(spark):
+    """10,000 texts without an id and 10,000 under one: no task gathers them, and repeats are found across them."""
+    shared = "".join(random.Random(1).choices("ghijklmnop", k=150))
+    text = lambda i: f"{i:06d} " + hashlib.sha256(str(i).encode()).hexdigest() * 3 + (shared if i % 1000 == 0 else "")
+    rows = [(None if i < 10_000 else 5, text(i)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    plan = S.remove_repeats(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "dense_rank" not in plan and "collect_list(tag" not in plan
+    found = S.remove_repeats(df).collect()
+    # The digest stands three times in each text, so 128 bytes go; the shared passage goes in all texts but the first.
+    assert Counter(r["n_removed"] for r in found) == {128: 19_981, 278: 19}
+
+
+def test_many_copies_without_an_id(spark):
+    rows = [(None, "x" * 300)] * 3000 + [(None, None)] * 3000
+    found = Counter((r["n_bytes"], r["n_removed"]) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    # Each copy is the one document: all but its first 1 byte is covered by strings that start earlier in it.
+    assert found == {(300, 299): 3000, (0, 0): 3000}
