@@ -251,7 +251,7 @@ def test_inspect_sharegpt(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text("")
     empty = jobs.inspect_path(spark, str(tmp_path / "e.jsonl"))
     assert empty["samples"] == 0 and empty["target_responses"] == {"count": 0}
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="holds no sample"):
         datasets.read_sharegpt(spark, str(tmp_path / "e.jsonl"))
 
 
