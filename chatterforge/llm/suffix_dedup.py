@@ -112,9 +112,13 @@ def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarr
 
 def _anchor_batches(width: int, gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
             columns: list[list[np.ndarray]] = [[] for _ in range(4)]
             for key, tag, text in zip(batch["key"].to_pylist(), batch["tag"].to_pylist(), utf8(batch["text"])):
+                if (key, tag) == before:
+                    continue
+                before = key, tag
                 at, low, high, gram_hash = anchors(text, width, gram)
                 # Copies inside one document are met here already; only the hash and the place travel.
                 places = (at << 16) | (low << 8) | high
@@ -287,10 +291,14 @@ def _run_batches(width: int, shards: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffixes: list[tuple] = []
+        before = None
         for batch in batches:
             for key, tag, text, found in zip(
                 batch["key"].to_pylist(), batch["tag"].to_pylist(), utf8(batch["text"]), batch["found"].to_pylist()
             ):
+                if (key, tag) == before:
+                    continue
+                before = key, tag
                 for f in found:
                     if f["tag"] != tag:
                         continue
@@ -435,20 +443,20 @@ def remove_repeats(
     document = ["key", "tag"]
     named = named.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tag", F.xxhash64("text"))
     # One exchange of the texts, by document, serves all three readings.
-    # Of rows that are one document, one is searched; all of them get the result.
-    nth = F.row_number().over(Window.partitionBy(*document).orderBy("tag"))
-    texts = named.repartition(*document).withColumn("alone", nth == 1)
+    texts = named.repartition(*document)
     earliest = texts.groupBy(F.md5("text").alias("digest")).agg(F.min(F.struct(*document)).alias("e"))
     earliest = earliest.select("e.key", "e.tag", F.lit(True).alias("first")).distinct()
     texts = texts.join(earliest, document, "left").withColumn("first", F.coalesce("first", F.lit(False)))
-    placed = texts.where("first and alone").select("key", "tag", "text").mapInArrow(_anchor_batches(width, gram), "key bigint, tag bigint, gram bigint, place bigint")
+    # Rows that are one document stand side by side, so that one of them is searched; all get the result.
+    searched = texts.where("first").sortWithinPartitions(*document)
+    placed = searched.select("key", "tag", "text").mapInArrow(_anchor_batches(width, gram), "key bigint, tag bigint, gram bigint, place bigint")
     counted = placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1")
     found = counted.groupBy(*document).agg(
         F.collect_list(
             F.struct(F.col("tag"), "place", F.pmod("gram", F.lit(shards)).cast("int").alias("shard"), (F.col("n") > hot).alias("hot"))
         ).alias("found")
     )
-    runs = texts.where("first and alone").join(found, document).select("key", "tag", "text", "found").mapInArrow(_run_batches(width, shards), _RUN_SCHEMA)
+    runs = texts.where("first").join(found, document).sortWithinPartitions(*document).select("key", "tag", "text", "found").mapInArrow(_run_batches(width, shards), _RUN_SCHEMA)
     by_shard = F.coalesce("shard", F.pmod(F.hash("key", "start"), F.lit(shards)))
     dealt = runs.repartition(by_shard).sortWithinPartitions("shard")
     ranges = dealt.mapInArrow(_merge_batches(width), "key bigint, tag bigint, start bigint, stop bigint")
