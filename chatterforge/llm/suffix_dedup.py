@@ -54,6 +54,9 @@ CHUNK = 1 << 18
 #: Shards for each shuffle partition.
 SHARDS = 4
 
+#: The key of rows without an id.
+NO_ID = -(1 << 63)
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -430,7 +433,7 @@ def remove_repeats(
     ``removed`` holds start, stop, start, stop ... in bytes.  Null texts count as empty.
     Rows equal in id and text are one document, and each gets its result; rows
     that repeat an id with another text follow in the order of their digests.  A null
-    id sorts before all others.  A very long text is one row that is read whole; its suffixes are
+    id sorts before all others, and the least id that 64 bits hold counts as null.  A very long text is one row that is read whole; its suffixes are
     dealt to shards like those of others.  Other columns are not read; an empty table gives
     an empty result.  ``width`` is at most 255 and larger than ``gram``.
     """
@@ -441,8 +444,8 @@ def remove_repeats(
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # A document is an id and a digest, so that many texts under one id, or without any, are dealt like others.
     document = ["key", "tag"]
-    named = named.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tag", F.xxhash64("text"))
-    # One exchange of the texts, by document, serves all three readings.
+    named = named.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("tag"), "text")
+    # One exchange of the texts, by document, serves all readings, as each needs the same columns.
     texts = named.repartition(*document)
     earliest = texts.groupBy(F.md5("text").alias("digest")).agg(F.min(F.struct(*document)).alias("e"))
     earliest = earliest.select("e.key", "e.tag", F.lit(True).alias("first")).distinct()
@@ -461,6 +464,7 @@ def remove_repeats(
     dealt = runs.repartition(by_shard).sortWithinPartitions("shard")
     ranges = dealt.mapInArrow(_merge_batches(width), "key bigint, tag bigint, start bigint, stop bigint")
     gathered = ranges.groupBy(*document).agg(F.collect_list(F.struct("tag", "start", "stop")).alias("found"))
-    return texts.join(gathered, document, "left").select("doc_id", "tag", "text", "first", "found").mapInArrow(
+    own_id = F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id")
+    return texts.join(gathered, document, "left").select(own_id, "tag", "text", "first", "found").mapInArrow(
         _cut_batches(width), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<bigint>"
     )
