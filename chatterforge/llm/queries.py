@@ -41,8 +41,9 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chatterforge.llm.byte_bpe import encode
 
     found = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    # The digest of the ids is taken from the column itself.
-    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
+    # Digests are taken from the columns themselves; places are code points, spelled as the ids are.
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "starts", "ends")]
+    return found.select("doc_id", "n_tokens", *digests, "decoded_sha256")
 
 
 def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

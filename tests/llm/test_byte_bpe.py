@@ -69,14 +69,33 @@ def test_round_trip_and_cut_sequences(spark):
     assert B.encode(awkward(spark, []), PATH).count() == 0
 
 
-def test_the_query_works_out_tokens_and_places(spark, sf_dir, model, monkeypatch):
+def places(pieces):
+    """(start, end) in code points of the byte strings that make up a text, by counting the bytes that begin characters."""
+    starts, ends, begun = [], [], 0
+    for piece in pieces:
+        leads = sum(b & 0xC0 != 0x80 for b in piece)
+        starts.append(begun - (piece[0] & 0xC0 == 0x80))
+        begun += leads
+        ends.append(begun)
+    return starts, ends
+
+
+def test_the_query_gives_digests_of_tokens_and_places(spark, sf_dir, model):
     from chatterforge.llm.queries import QUERIES
 
-    asked = []
-    whole = B.encode
-    monkeypatch.setattr(B, "encode", lambda *a, **k: asked.append(whole(*a, **k)) or asked[-1])
-    df = QUERIES["op4_byte_bpe"](spark, sf_dir)
-    assert {"ids", "starts", "ends"} <= set(asked[0].columns)
-    by_id = texts(spark, sf_dir)
-    expected = {i: sha(np.array(model.encode_ordinary(t), "<u4").tobytes()) for i, t in by_id.items()}
-    assert {r["doc_id"]: r["ids_sha256"] for r in df.collect()} == expected
+    packed = lambda x: sha(np.array(x, "<u4").tobytes())
+    expected = {}
+    for i, t in texts(spark, sf_dir).items():
+        ids = model.encode_ordinary(t)
+        pieces = [model.decode_single_token_bytes(x) for x in ids]
+        assert b"".join(pieces) == t.encode()
+        starts, ends = places(pieces)
+        expected[i] = (len(ids), packed(ids), packed(starts), packed(ends), sha(t))
+    rows = QUERIES["op4_byte_bpe"](spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["starts_sha256"], r["ends_sha256"], r["decoded_sha256"]) for r in rows} == expected
+
+
+def test_places_of_tokens_that_split_characters():
+    assert places([b"a", b"\xf0\x9f", b"\xa7\xbf", b"b\xc3", b"\xa9"]) == ([0, 1, 1, 2, 3], [1, 2, 2, 4, 4])
+    found = B.character_offsets("a\U0001f9ffb\u00e9".encode(), np.array([1, 2, 2, 2, 1]))
+    assert [x.tolist() for x in found] == [[0, 1, 1, 2, 3], [1, 2, 2, 4, 4]]
