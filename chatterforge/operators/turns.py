@@ -117,6 +117,7 @@ def message_turns(
     A message goes on with the turn before it if channel, session, speaker and
     author are the same and it came within the gap of the previous message.
     An unknown time is never close, unless both are unknown and that is allowed.
+    Messages of one transcript at one place are peers, as in SQL, and belong to one turn; the one with the smallest id comes first.
     With ``spread`` one transcript may hold any share of all messages.
     """
     if turn_gap_seconds < 1:
@@ -130,7 +131,7 @@ def message_turns(
         # A turn ends with the message before, so its end is that message's time.
         counts["session_id"] = lambda row, last: turn(row, last) * session(row, last)
     columns = ["ts", "channel_id", "source_session", "participant", "author_id"]
-    numbered = scan(prepared(messages), "transcript_id", "pos", columns, counts, spread=spread)
+    numbered = scan(prepared(messages), "transcript_id", "pos", columns, counts, spread=spread, ties=["source_id"])
     return numbered.withColumns({n: F.col(n) - 1 for n in counts}).drop("previous")
 
 
@@ -146,9 +147,9 @@ def aggregate_turns(
     With a session gap, ``session_id`` comes from the same scan, as :func:`sessionize` would give it.
     """
     rows = message_turns(messages, turn_gap_seconds, merge_unknown_timestamps, spread, session_gap_seconds)
-    parts = F.array_sort(F.collect_list(F.struct("pos", "content", "source_id", "ts")))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "source_id", "content", "ts")))
     fixed = ["participant", "author_id", "author_label", "channel_id", "source_session"] + ["session_id"] * (session_gap_seconds is not None)
-    turns = rows.groupBy("transcript_id", "turn_no").agg(parts.alias("parts"), *[F.min_by(c, "pos").alias(c) for c in fixed])
+    turns = rows.groupBy("transcript_id", "turn_no").agg(parts.alias("parts"), *[F.min_by(c, F.struct("pos", "source_id")).alias(c) for c in fixed])
     return turns.select(
         "transcript_id",
         "turn_no",

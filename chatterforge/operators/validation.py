@@ -28,7 +28,7 @@ def message_violations(messages: DataFrame, spread: bool = False) -> DataFrame:
     speakers yet are not asked for them.  Blank messages are not looked at.  With ``spread`` one transcript, and one id in it, may hold any share of all messages.
     """
     rows = prepared(messages)
-    checked = scan(rows, "transcript_id", "pos", ["ts"], known=["ts"], spread=spread)
+    checked = scan(rows, "transcript_id", "pos", ["ts"], known=["ts"], spread=spread, ties=["source_id"])
     ids = rows.groupBy("transcript_id", "source_id").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = rows.select("transcript_id", "pos", "source_id").join(ids, ["transcript_id", "source_id"]).where(F.col("pos") > F.col("first"))
     found = [
