@@ -23,9 +23,9 @@ from chatterforge.operators.splits import drop_duplicate_samples, split_sessions
 from chatterforge.operators.style import pair_predictions
 from chatterforge.operators.turns import aggregate_turns, known_time_sessions, sessionize
 from chatterforge.operators.validation import message_violations
-from chatterforge.operators.windows import SESSION, build_windows, trim_history, usable_sessions
+from chatterforge.operators.windows import SESSION, build_windows, placed, trim_history, usable_sessions
 from chatterforge.plans import compat
-from chatterforge.runtime import materialize, number_rows
+from chatterforge.runtime import materialize, number_rows, sent
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -88,6 +88,12 @@ def stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate_turns(stream(spark, sf_dir), spread=True, session_gap_seconds=1800)
 
 
+def placed_turns(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The turns, or some columns of them, with their places, as a session is a quarter of all events, too."""
+    turns = stream_turns(spark, sf_dir)
+    return placed(turns.select("transcript_id", "turn_no", "session_id", *columns) if columns else turns)
+
+
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessionize(aggregate_turns(chats(spark, sf_dir)))
 
@@ -319,12 +325,12 @@ def windows_w6(spark, sf_dir):
 
 @query(f"WITH {_STREAM_TURNS}, {_windows_sql('turns', 2)} SELECT transcript_id, session_id, turn_no, len(h) AS n, {_SPELLED} AS sample FROM windows")
 def windows_w2(spark, sf_dir):
-    return build_windows(stream_turns(spark, sf_dir), 2).select(*SESSION, "turn_no", F.size("history").cast("bigint").alias("n"), spelled().alias("sample"))
+    return build_windows(placed_turns(spark, sf_dir, "participant", "content"), 2).select(*SESSION, "turn_no", F.size("history").cast("bigint").alias("n"), spelled().alias("sample"))
 
 
 @query(f"WITH {_STREAM_TURNS}, {_windows_sql('turns', 6)} SELECT transcript_id, count(DISTINCT session_id) AS n FROM windows GROUP BY 1")
 def usable_session_counts(spark, sf_dir):
-    return usable_sessions(stream_turns(spark, sf_dir)).groupBy("transcript_id").agg(F.countDistinct("session_id").alias("n"))
+    return usable_sessions(placed_turns(spark, sf_dir, "participant")).groupBy("transcript_id").agg(F.countDistinct("session_id").alias("n"))
 
 
 @query(
@@ -406,12 +412,13 @@ _SPLIT = f"WITH {_STREAM_TURNS}, {_windows_sql('turns', 6, extra=chr(44) + ' ' +
 
 @query(_SPLIT + " SELECT transcript_id, session_id, session_no, split FROM split")
 def split_chrono(spark, sf_dir):
-    return split_sessions(usable_sessions(stream_turns(spark, sf_dir))).select(*SESSION, "session_no", "split").distinct()
+    return split_sessions(usable_sessions(placed_turns(spark, sf_dir, "participant"))).select(*SESSION, "session_no", "split").distinct()
 
 
 def split_windows(spark, sf_dir):
-    split = split_sessions(usable_sessions(stream_turns(spark, sf_dir)))
-    windows = build_windows(split).join(split.select(*SESSION, "session_no", "split").distinct(), list(SESSION))
+    split = split_sessions(usable_sessions(placed_turns(spark, sf_dir, "participant", "content", "source_ids")))
+    places = materialize(split.select(*SESSION, "session_no", "split").distinct())
+    windows = build_windows(split).join(sent(places), list(SESSION))
     return split, drop_duplicate_samples(windows, ["session_no", "turn_no"])
 
 
@@ -474,7 +481,7 @@ SELECT transcript_id, turn_no, 'system: be brief' || chr(10) || array_to_string(
   || CASE t.p WHEN 'other' THEN 'user-' || t.l || ': ' ELSE '' END || t.c), chr(10)) AS sample FROM windows"""
 )
 def sharegpt_labels(spark, sf_dir):
-    rows = build_windows(stream_turns(spark, sf_dir), 3).withColumn("c", conversations("history", "be brief", "others"))
+    rows = build_windows(placed_turns(spark, sf_dir, "participant", "content", "author_id", "author_label"), 3).withColumn("c", conversations("history", "be brief", "others"))
     return rows.select("transcript_id", "turn_no", F.array_join(F.transform("c", lambda t: F.concat_ws(": ", t["from"], t["value"])), "\n").alias("sample"))
 
 
@@ -718,7 +725,7 @@ def duplicate_counts(spark, sf_dir):
 FROM turns GROUP BY 1"""
 )
 def transcript_counts(spark, sf_dir):
-    return profiling.session_counts(stream_turns(spark, sf_dir)).drop("windows")
+    return profiling.session_counts(placed_turns(spark, sf_dir, "participant")).drop("windows")
 
 
 @query(

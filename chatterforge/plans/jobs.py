@@ -15,8 +15,8 @@ from chatterforge.operators.sharegpt import LABELS, conversations
 from chatterforge.operators.splits import SPLITS, drop_duplicate_samples, split_sessions, split_summary
 from chatterforge.operators.turns import TARGET, aggregate_turns
 from chatterforge.operators.validation import known_participants, require_valid
-from chatterforge.operators.windows import SESSION, build_windows, usable_sessions
-from chatterforge.runtime import delete_folder, materialize, number_rows
+from chatterforge.operators.windows import SESSION, build_windows, placed, usable_sessions
+from chatterforge.runtime import delete_folder, materialize, number_rows, sent
 from chatterforge.sources.datasets import file_info, kind_of, publish, read_predictions, read_sharegpt, sharegpt_problems, write_sharegpt
 from chatterforge.sources.exports import read_export, read_parsed
 
@@ -70,7 +70,7 @@ def split_samples(turns: DataFrame, config: FormatConfig) -> tuple[DataFrame, Da
     usable = usable_sessions(turns, config.window_size)
     split = materialize(split_sessions(usable, config.val_ratio, config.test_ratio, config.strategy, config.seed))
     places = split.select(*SESSION, "split", "session_no").distinct()
-    windows = build_windows(split, config.window_size).join(places, list(SESSION))
+    windows = build_windows(split, config.window_size).join(sent(places), list(SESSION))
     if config.drop_duplicate_samples:
         return split, drop_duplicate_samples(windows, ["session_no", "turn_no"])
     return split, windows.withColumn("duplicate", F.lit(False))
@@ -87,7 +87,8 @@ def format_dataset(messages: DataFrame, prefix: str, config: FormatConfig = Form
     marked = materialize(classify(messages, config.filters))
     kept = marked.where("reason is null")
     require_valid(kept, config.spread)
-    turns = materialize(session_turns(kept, config))
+    turns = session_turns(kept, config)
+    turns = placed(turns) if config.spread else materialize(turns)
     split, samples = split_samples(turns, config)
     samples = materialize(samples)
     outputs, staged, mark = {}, {}, uuid.uuid4().hex
@@ -144,7 +145,7 @@ def _text_report(texts: DataFrame) -> dict:
 
 def inspect_transcripts(messages: DataFrame, window_size: int = 6, turn_gap_seconds: int = 300, session_gap_seconds: int = 1800) -> DataFrame:
     """One row per transcript: messages by speaker, turns, sessions, target texts, markers, repeats and times."""
-    turns = materialize(aggregate_turns(known_participants(messages), turn_gap_seconds, spread=True, session_gap_seconds=session_gap_seconds))
+    turns = placed(aggregate_turns(known_participants(messages), turn_gap_seconds, spread=True, session_gap_seconds=session_gap_seconds))
     said = turns.where(F.col("participant") == TARGET).select("transcript_id", F.col("content").alias("text"))
     key = ["transcript_id"]
     parts = [profiling.session_counts(turns, window_size), *[f(said, key) for f in (profiling.length_stats, profiling.content_markers, profiling.duplicate_counts)]]
@@ -160,7 +161,7 @@ def inspect_parsed(messages: DataFrame, window_size: int = 6, turn_gap_seconds:
     if several > 1:
         raise ValueError("more than one transcript; use inspect_transcripts for a row of each")
     counts = _row(profiling.message_counts(messages))
-    turns = materialize(aggregate_turns(known_participants(messages), turn_gap_seconds, spread=True, session_gap_seconds=session_gap_seconds))
+    turns = placed(aggregate_turns(known_participants(messages), turn_gap_seconds, spread=True, session_gap_seconds=session_gap_seconds))
     sessions = _row(profiling.session_counts(turns, window_size))
     iso = lambda t: None if t is None else t.isoformat()
     return {
