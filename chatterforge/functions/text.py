@@ -33,6 +33,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_text(c), r"(?U)^\s+|\s+$", "")
 
 
+def has_text(c: Column | str) -> Column:
+    """Whether anything is left by :func:`strip`."""
+    return _text(c).rlike(r"(?U)\S")
+
+
 def clean_text(c: Column | str) -> Column:
     """Control characters removed, blanks collapsed, at most one empty line in a row, stripped."""
     bare = F.regexp_replace(_text(c), CONTROL, "")
@@ -152,7 +157,8 @@ def rate_similarity(a: Column, b: Column) -> Column:
 
 
 def letters(c: Column | str) -> Column:
-    return F.regexp_count(_text(c), F.lit(r"\p{L}")).cast("bigint")
+    # Stretches of other characters are fewer than letters.
+    return F.length(F.regexp_replace(_text(c), r"[^\p{L}]+", "")).cast("bigint")
 
 
 def upper_letters(c: Column | str) -> Column:
