@@ -25,12 +25,16 @@ def message_violations(messages: DataFrame, spread: bool = False) -> DataFrame:
 
     A time goes back where it is before the last known one above.  Where the table has a ``violation`` of
     :func:`~chatterforge.operators.identity.normalize_messages`, it is listed, too; records that have no
-    speakers yet are not asked for them.  Blank messages are not looked at.  With ``spread`` one transcript, and one id in it, may hold any share of all messages.
+    speakers yet are not asked for them.  Blank messages are not looked at.  Of the messages that bear an id, all but one are repeated,
+    also where several stand at its first place.  With ``spread`` one transcript, and one id in it, may hold any share of all messages.
     """
     rows = prepared(messages)
-    checked = scan(rows, "transcript_id", "pos", ["ts"], known=["ts"], spread=spread, ties=["source_id"])
-    ids = rows.groupBy("transcript_id", "source_id").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = rows.select("transcript_id", "pos", "source_id").join(ids, ["transcript_id", "source_id"]).where(F.col("pos") > F.col("first"))
+    checked = scan(rows, "transcript_id", "pos", ["ts", "pos", "source_id"], known=["ts"], spread=spread, ties=["source_id", "ts"])
+    ids = rows.groupBy(F.col("transcript_id").alias("of"), F.col("source_id").alias("id")).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Peers of one id stand side by side.
+    twin = F.col("previous")["pos"].eqNullSafe(F.col("pos")) & (F.col("previous")["source_id"] == F.col("source_id"))
+    places = checked.select("transcript_id", "pos", "source_id", twin.alias("twin"))
+    again = places.join(ids, F.col("transcript_id").eqNullSafe(F.col("of")) & (F.col("source_id") == F.col("id"))).where(F.col("twin") | ~F.col("pos").eqNullSafe(F.col("first")))
     found = [
         again.select("transcript_id", "pos", F.lit("duplicate_id").alias("code")),
         checked.where(F.col("ts") < F.col("known_ts")).select("transcript_id", "pos", F.lit("order").alias("code")),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatterforge import catalog
 from chatterforge.operators.ordered import scan
+from chatterforge.operators.validation import message_violations
 
 #: Columns whose values hang on the order among peers, which SQL leaves open.
 OPEN = {"events_turns": {"ids", "author_id"}}
@@ -64,3 +65,27 @@ def test_peers_of_one_user_equal_sql(spark, sf_dir, tmp_path, name):
     names = [c for c in found.columns if c != "ids"]
     mine = catalog.QUERIES[name](spark, str(tmp_path)).select(*names).collect()
     assert sorted(map(repr, map(tuple, mine))) == sorted(repr(tuple(v for c, v in zip(found.columns, r) if c in names)) for r in found.fetchall())
+
+
+def test_repeated_ids_at_one_time_equal_sql(spark, sf_dir, tmp_path):
+    """Copies that share ids and times: all but one are repeated.  What is older than the one before hangs on the order of peers, which is by id and time here."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    spread = F.col("event_id") + F.col("id") * 4500
+    events.crossJoin(spark.range(5)).withColumn("event_id", spread).drop("id").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    sql = catalog.ORACLE_SQL["violations"]
+    rows = [r for r in con.sql(sql).fetchall() if r[2] == "duplicate_id"]
+    fixed = sql.replace("ORDER BY pos ROWS", "ORDER BY pos, id::VARCHAR, us ROWS")
+    rows += [r for r in con.sql(fixed).fetchall() if r[2] == "order"]
+    mine = catalog.QUERIES["violations"](spark, str(tmp_path)).collect()
+    assert fixed != sql and sorted(map(tuple, mine)) == sorted(rows)
+
+
+@pytest.mark.parametrize("spread", [True, False])
+def test_repeated_ids_without_a_transcript_or_place(spark, spread):
+    rows = [(None, 1, "x"), (None, 1, "x"), (None, 1, "x"), (None, 2, "x"), ("a", None, "y"), ("a", None, "y"), ("a", 5, "y"), ("b", None, "z"), ("b", None, "z"), ("b", 7, "w")]
+    df = spark.createDataFrame([(*r, "self", "hi") for r in rows], "transcript_id string, pos bigint, id string, participant string, content string")
+    found = message_violations(df, spread).where("code = 'duplicate_id'").collect()
+    expected = [(None, 1), (None, 1), (None, 2), ("a", None), ("a", None), ("b", None)]
+    assert sorted(((r["transcript_id"], r["pos"]) for r in found), key=repr) == sorted(expected, key=repr)
